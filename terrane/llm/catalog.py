@@ -1,6 +1,6 @@
 """All queries of this subpackage, and SQL for those that SQL can express on whole tables."""
 
-from terrane.llm import jaccard_join
+from terrane.llm import jaccard_join, suffix_dedup
 
-QUERIES = {**jaccard_join.QUERIES}
+QUERIES = {**jaccard_join.QUERIES, **suffix_dedup.QUERIES}
 SQL: dict[str, str] = {}

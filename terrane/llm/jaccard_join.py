@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.common import U64, byte_codes, documents, mix, prefix_hash, release, runs, span_hash, staged, utf8
@@ -245,55 +245,96 @@ def _meet(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _bodies(width: int):
-    """node and its shingles."""
+    """node and text of each distinct set in a task."""
 
     def run(batches):
+        seen = set()
         for b in batches:
             data, offsets = utf8(b.column("text"))
             for i, j in runs(offsets, BLOCK):
-                sets = [x for x in shingle_sets(data, offsets[i : j + 1], width) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+                keys = [set_key(x) if len(x) else None for x in shingle_sets(data, offsets[i : j + 1], width)]
+                fresh = [k for k, key in enumerate(keys) if key is not None and not (key in seen or seen.add(key))]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in fresh], pa.int64()), b.column("text").slice(i, j - i).take(pa.array(fresh, pa.int64()))], ["node", "text"])
 
     return run
 
 
-def _signed(percent: int):
-    """All signatures of stored sets, a row each."""
+def _signed(width: int, percent: int):
+    """All signatures of texts, a row each."""
 
     def run(batches):
         bands = Bands(percent)
         for b in batches:
-            for node, x in zip(b.column("node").to_pylist(), b.column("shingles")):
-                sig = np.unique(np.concatenate([np.empty(0, U64), *signatures(np.asarray(x.values).view(U64), bands)]))
+            for node, x in zip(b.column("node").to_pylist(), shingle_sets(*utf8(b.column("text")), width)):
+                sig = np.unique(np.concatenate([np.empty(0, U64), *signatures(x, bands)]))
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), node, np.int64))], ["sig", "node"])
 
     return run
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough, by exact intersection."""
-    a, b = (bodies.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent).select("a", "b")
+def _similar(width: int, percent: int):
+    """Pairs of texts whose sets are similar enough, by exact intersection."""
+
+    def run(batches):
+        for b in batches:
+            good = []
+            for x, y in zip(shingle_sets(*utf8(b.column("text_a")), width), shingle_sets(*utf8(b.column("text_b")), width)):
+                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
+    a, b = (bodies.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_similar(width, percent), "a long, b long")
+
+
+def _apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose members lie in different components so far."""
+    for k in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(k), F.col("component").alias(f"in_{k}")), k, "left")
+    return pairs.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).drop("in_a", "in_b")
 
 
-def _untested(pairs: DataFrame, nodes: DataFrame, bodies: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs that share a signature, lie in different components so far and haven't been compared; None if there are none.
+def _untested(pairs: DataFrame, split: DataFrame, nodes: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs that share a signature, lie in different components and haven't been compared.
 
-    Members of a signature have been compared with its least member only. That is enough where they all lie in one
-    component. Elsewhere (candidate groups which verification split) every remaining pair is given.
+    Members of a signature have been compared with its least member only, which is enough where they all lie in one
+    component. In candidate groups that verification split every remaining pair is given.
     """
-    named = lambda p, k: p.join(nodes.select(F.col("node").alias(k), F.col("component").alias(f"in_{k}")), k, "left").withColumn(f"in_{k}", F.coalesce(f"in_{k}", k))
-    split = staged(named(named(pairs, "a"), "b").where("in_a <> in_b"), "split")
-    if split.isEmpty():
-        return None
     reach = connected(pairs)
     torn = split.join(reach, split.a == reach.node).select(F.col("component").alias("reach")).distinct()
     rest = reach.withColumnRenamed("component", "reach").join(torn, "reach").select("node")
-    signed = bodies.join(rest, "node").mapInArrow(_signed(percent), "sig long, node long")
-    x, y = (named(signed.withColumnRenamed("node", k), k) for k in "ab")
+    signed = staged(bodies.join(rest, "node").mapInArrow(_signed(width, percent), "sig long, node long"), "signed")
+    several = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
+    member = staged(signed.join(several, "sig").join(nodes, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component")), "member")
+    apart = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
+    x, y = (member.join(apart, "sig").select("sig", F.col("node").alias(k), F.col("component").alias(f"in_{k}")) for k in "ab")
     more = x.join(y, "sig").where("in_a < in_b").select("a", "b").distinct()
-    return more.join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti")
+    tested = pairs.select("a", "b")
+    return more.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti")
+
+
+def _links(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, component from candidate pairs (a, b, votes): each node's likeliest pair is verified first, then only pairs
+    whose members still lie apart, so that large groups of near copies cost about one comparison a member."""
+    best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
+    first = pairs.withColumn("k", F.row_number().over(best)).where("k = 1")
+    links = staged(_verified(first, bodies, width, percent), "links")
+    nodes = connected(links)
+    apart = staged(_apart(pairs.join(first, ["a", "b"], "left_anti"), nodes), "apart")
+    if not apart.isEmpty():
+        links = staged(links.union(_verified(apart, bodies, width, percent)), "links")
+        nodes = connected(links)
+    release()
+    split = staged(_apart(pairs, nodes), "split")
+    if not split.isEmpty():
+        more = staged(_untested(pairs, split, nodes, bodies, width, percent), "more")
+        links = staged(links.union(_verified(more, bodies, width, percent)), "links")
+        nodes = connected(links)
+    return nodes
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -306,17 +347,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(8, int(total // 2_500_000) + 1)
     emitted = docs.select("text").mapInArrow(_emit(width, percent, buckets), "bucket int, blob binary, a long, b long")
-    pairs = staged(emitted.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "pairs")
+    met = emitted.groupBy("bucket").applyInArrow(_meet, "a long, b long")
+    pairs = staged(met.groupBy("a", "b").agg(F.count("*").alias("votes")), "pairs")
+    del emitted, met
     release()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = sets.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
     texts = docs.join(chosen, docs.doc_id.eqNullSafe(chosen.id), "left_semi").select("text")
-    bodies = staged(texts.mapInArrow(_bodies(width), "node long, shingles array<long>").dropDuplicates(["node"]), "bodies")
-    links = staged(_verified(pairs, bodies, percent), "links")
-    nodes = connected(links)
-    if (more := _untested(pairs, nodes, bodies, percent)) is not None:
-        links = staged(links.union(_verified(more, bodies, percent)), "links")
-        nodes = connected(links)
+    bodies = staged(texts.mapInArrow(_bodies(width), "node long, text string"), "bodies")
+    del wanted, chosen, texts
+    release()
+    nodes = _links(pairs, bodies, width, percent)
     key = F.coalesce("component", "node", F.xxhash64("doc_id", F.lit("alone")))
     named = sets.join(nodes, "node", "left").select("doc_id", "n_shingles", key.alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
