@@ -1,6 +1,8 @@
 """All queries of this subpackage, and SQL for those that SQL can express on whole tables."""
 
-from terrane.llm import jaccard_join, suffix_dedup
+from terrane.llm import jaccard_join, language_id, mixing, sentence_pieces, suffix_dedup
 
-QUERIES = {**jaccard_join.QUERIES, **suffix_dedup.QUERIES}
+QUERIES = {}
+for _module in (language_id, mixing, sentence_pieces, suffix_dedup, jaccard_join):
+    QUERIES |= _module.QUERIES
 SQL: dict[str, str] = {}
