@@ -1,8 +1,8 @@
 """All queries of this subpackage, and SQL for those that SQL can express on whole tables."""
 
-from terrane.llm import jaccard_join, language_id, mixing, sentence_pieces, suffix_dedup
+from terrane.llm import jaccard_join, language_id, license_scan, mixing, sentence_pieces, sharding, suffix_dedup
 
 QUERIES = {}
-for _module in (language_id, mixing, sentence_pieces, suffix_dedup, jaccard_join):
+for _module in (language_id, mixing, sentence_pieces, suffix_dedup, sharding, jaccard_join, license_scan):
     QUERIES |= _module.QUERIES
 SQL: dict[str, str] = {}
