@@ -1,8 +1,8 @@
 """All queries of this subpackage, and SQL for those that SQL can express on whole tables."""
 
-from terrane.llm import fingerprints, jaccard_join, language_id, license_scan, mixing, sentence_pieces, sharding, suffix_dedup
+from terrane.llm import fingerprints, jaccard_join, language_id, license_scan, media, mixing, sentence_pieces, sharding, suffix_dedup
 
 QUERIES = {}
-for _module in (language_id, mixing, sentence_pieces, fingerprints, suffix_dedup, sharding, jaccard_join, license_scan):
+for _module in (language_id, mixing, sentence_pieces, fingerprints, suffix_dedup, media, sharding, jaccard_join, license_scan):
     QUERIES |= _module.QUERIES
 SQL: dict[str, str] = {}
