@@ -1,9 +1,76 @@
-STAGES = []
+"""From raw documents to token ids, in five stages. Each stage is written as Parquet before the next one reads it.
+
+Every stage but the last returns the columns of ``documents`` (doc_id, text, lang, source, n_chars). A doc_id names one
+document from the second stage on: of rows that share one, one stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from terrane.llm import jaccard_join, language_id, mixing, sentence_pieces, suffix_dedup
+from terrane.llm.common import staged
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SURE = 0.5  # least score of a language
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language is less likely than not, go; a missing label is filled."""
+    found = language_id.identify(docs, language_id.train(docs))
+    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.8) the document with the least doc_id stays."""
+    found = jaccard_join.jaccard_components(docs)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    kept = docs.join(stay, docs.doc_id.eqNullSafe(stay.stays), "left_semi")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept.select(COLUMNS)
+    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
+    return kept.withColumn("k", F.row_number().over(first)).where("k = 1").select(COLUMNS)
+
+
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes that strings of 200 bytes found elsewhere cover are cut out, with what they leave of a character; documents
+    of which only white space is left go."""
+    found = suffix_dedup.remove_repeats(docs.select(COLUMNS))
+    left = F.col("kept").cast("string")
+    left = F.when(F.is_valid_utf8(left), left).otherwise(F.replace(F.make_valid_utf8(left), F.lit("�"), F.lit("")))
+    text = F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))
+    found = found.withColumn("text", text).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it: 0 to 3 times."""
+    mix = mixing.mix_sources(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
+    mix = mix.where("copies > 0").select(F.col("doc_id").alias("taken"), "copies")
+    taken = docs.join(mix, docs.doc_id.eqNullSafe(mix.taken))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text."""
+    found = sentence_pieces.encode(docs.select(COLUMNS), sentence_pieces.default_model())
+    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("suffix_array_dedup", repeat_stage),
+    ("source_mixing", mixing_stage),
+    ("sentence_pieces", token_stage),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
