@@ -12,7 +12,8 @@ the same wherever the text is the same. So:
    only equality matters), weighed with the phrase's count, and met with equal ones.
 3. Blocks get back their repeated phrases and suffixes, and the bytes these cover are cut.
 
-Counts are sums with partial aggregation, and equal phrases of a block are one row, so neither a passage in a third of all
+Before the dictionary, keys (that text on one side) which occur once are left out. Equal phrases, keys and strings of a block
+are one row, and counts are sums with partial aggregation, so neither a passage in a third of all
 documents nor a document that repeats itself puts its occurrences in one task.
 
 Edge cases: null text counts as empty; texts under WIDTH bytes are kept whole; all occurrences of a repeat go, the first
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,25 +105,77 @@ def _texts(part: pa.Table, text: str) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _parsed(text: str, width: int):
-    """The distinct phrases of each block, and how often they occur in it."""
+def _packed(block: int, keys: np.ndarray, several: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A block's sorted distinct keys, and whether each occurs several times in it, cut into the buckets of their range."""
+    share = (1 << 64) // buckets + 1
+    at = np.concatenate(([0], np.searchsorted(keys, np.array([share * k for k in range(1, buckets)], U64)), [len(keys)]))
+    full = np.flatnonzero(np.diff(at))
+    blobs = [keys[at[k] : at[k + 1]].tobytes() + np.packbits(several[at[k] : at[k + 1]]).tobytes() for k in full.tolist()]
+    sizes = np.diff(at)[full]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block, np.int64)), pa.array(sizes), pa.array(blobs, pa.binary())], ["bucket", "block", "n", "blob"])
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """For each block those of its keys in this bucket that occur several times in the corpus."""
+    blobs = [(memoryview(x.as_buffer()), n) for x, n in zip(table.column("blob"), table.column("n").to_pylist())]
+    keys = np.concatenate([np.frombuffer(x, U64, n) for x, n in blobs])
+    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=8 * n), count=n).astype(bool) for x, n in blobs])
+    whole = np.sort(keys)
+    again = np.unique(np.concatenate((whole[1:][whole[1:] == whole[:-1]], keys[several])))
+    hit = _among(keys, again)
+    ends = np.cumsum([n for _, n in blobs])
+    out = [keys[e - n : e][hit[e - n : e]].tobytes() for (_, n), e in zip(blobs, ends.tolist())]
+    return pa.table({"block": table.column("block"), "kind": pa.array(np.ones(len(out), np.int32)), "key": pa.nulls(len(out), pa.int64()), "keys": pa.array(out, pa.binary())}).filter(pa.array([len(x) > 0 for x in out], pa.bool_()))
+
+
+MARKS = "block long, kind int, key long, keys binary"
+
+
+def _repeated(packed: DataFrame) -> DataFrame:
+    """Keys that occur several times, back at their blocks. A key comes at most once from a block, so no bucket is hot."""
+    return packed.groupBy("bucket").applyInArrow(_met, MARKS)
+
+
+def _keys(text: str, width: int, buckets: int):
+    """The distinct keys of each block's phrases."""
 
     def run(batches):
         for batch in batches:
             for block, body in zip(batch.column("block").to_pylist(), batch.column("body")):
-                found = [(k, e) for _, _, k, e, _, _ in phrases(*_texts(_body(body), text), width)]
-                if found:
-                    phrase, at, count = np.unique(np.concatenate([e for _, e in found]), return_index=True, return_counts=True)
-                    key = np.concatenate([k for k, _ in found])[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(count.astype(np.int32)), pa.array(np.full(len(key), block))], ["key", "phrase", "n", "block"])
+                keys, n = np.unique(np.concatenate([np.empty(0, U64), *(x[2] for x in phrases(*_texts(_body(body), text), width))]), return_counts=True)
+                yield _packed(block, keys, n > 1, buckets)
+
+    return run
+
+
+def _listed(right: pa.Table, kind: int = 1) -> np.ndarray:
+    """Sorted keys of a kind, given one by one or packed."""
+    right = right.filter(pa.compute.equal(right.column("kind"), kind))
+    packed = [np.frombuffer(x.as_buffer(), U64) for x in right.column("keys") if x.is_valid]
+    return np.sort(np.concatenate([np.empty(0, U64), right.column("key").drop_null().to_numpy().view(U64), *packed]))
+
+
+def _parsed(text: str, width: int):
+    """The block's distinct phrases with a repeated key, how often they occur in it, and how many strings start in them."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = _listed(right)
+        found = [np.empty((3, 0), U64)]
+        for _, _, key, phrase, first, last in phrases(*_texts(_body(left.column("body")[0]), text), width) if len(left) and len(keys) else ():
+            hit = _among(key, keys)
+            found.append(np.stack((key[hit], phrase[hit], (last - first + 1).astype(U64)[hit])))
+        key, phrase, strings = np.concatenate(found, axis=1)
+        phrase, at, count = np.unique(phrase, return_index=True, return_counts=True)
+        block = left.column("block")[0].as_py() if len(left) else 0
+        return pa.table({"key": pa.array(key[at].view(np.int64)), "phrase": pa.array(phrase.view(np.int64)), "n": pa.array(count), "strings": pa.array(strings[at].astype(np.int64)), "block": pa.array(np.full(len(at), block, np.int64))})
 
     return run
 
 
 def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted table."""
     if not len(table):
         return np.zeros(len(x), bool)
-    table = np.sort(table)
     return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
@@ -136,7 +190,7 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().view(U64)
 
 
-def _suffixes(text: str, width: int):
+def _suffixes(text: str, width: int, buckets: int):
     """The strings of the block's contested phrases, weighed; once for each phrase."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -155,9 +209,8 @@ def _suffixes(text: str, width: int):
                 out.append((span_hash(prefix, start, start + width), weight[place[fresh]][which]))
         strings = np.concatenate([np.empty(0, U64), *(s for s, _ in out)])
         strings, back = np.unique(strings, return_inverse=True)
-        n = np.bincount(back, np.concatenate([np.empty(0), *(w for _, w in out)]), len(strings)).astype(np.int64)
-        block = left.column("block")[0].as_py() if len(left) else 0
-        return pa.table({"string": pa.array(strings.view(np.int64)), "n": pa.array(n), "block": pa.array(np.full(len(n), block, np.int64))})
+        n = np.bincount(back, np.concatenate([np.empty(0), *(w for _, w in out)]), len(strings))
+        return pa.Table.from_batches([_packed(left.column("block")[0].as_py() if len(left) else 0, strings, n > 1, buckets)])
 
     return run
 
@@ -170,9 +223,7 @@ def _cut(text: str, width: int, schema: pa.Schema):
             return schema.empty_table()
         part = _body(left.column("body")[0])
         data, offsets = _texts(part, text)
-        kind = right.column("kind").to_numpy()
-        key = _column(right, "key") if len(right) else np.empty(0, U64)
-        repeated, strings, contested = (np.sort(key[kind == k]) for k in range(3))
+        repeated, strings, contested = (_listed(right, kind) for kind in range(3))
         edge = np.zeros(len(data) + 1, np.int64)
         if len(repeated) or len(strings):
             for prefix, a, _, phrase, first, last in phrases(data, offsets, width):
@@ -210,20 +261,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 200) -> Dat
     elsewhere in the corpus), n_bytes, n_removed, n_spans and spans (maximal removed runs, in bytes). See the module's text."""
     names = [c for c in docs.columns if c not in RESULT or c == text]
     blocks = staged(docs.select(names).mapInArrow(_blocks(names, text), "block long, body binary"), "blocks")
-    parse = staged(blocks.mapInArrow(_parsed(text, width), "key long, phrase long, n int, block long"), "parse")
-    dictionary = staged(parse.groupBy("phrase").agg(F.min("key").alias("key"), F.sum("n").alias("n"), F.min("block").alias("home")), "phrases")
+    by_block = blocks.groupBy("block")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    packed = "bucket int, block long, n long, blob binary"
+    keys = staged(_repeated(blocks.mapInArrow(_keys(text, width, int(size // (150 << 20)) + 4), packed)), "keys")
+    release()
+    parse = staged(by_block.cogroup(keys.groupBy("block")).applyInArrow(_parsed(text, width), "key long, phrase long, n long, strings long, block long"), "parse")
+    release()
+    dictionary = staged(parse.groupBy("phrase").agg(*(F.min(c).alias(c) for c in ("key", "strings", "block")), F.sum("n").alias("n")), "phrases")
     contested = dictionary.groupBy("key").agg(F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("lo < hi").select("key", F.lit(True).alias("contested"))
-    known = dictionary.join(contested, "key", "left").where("n > 1 or contested").select("phrase", "n", "home", F.coalesce("contested", F.lit(False)).alias("contested"))
-    known = staged(known, "known")
+    known = dictionary.join(contested, "key", "left").withColumn("contested", F.coalesce("contested", F.lit(False)))
+    known = staged(known.where("n > 1 or contested").drop("key"), "known")
+    del dictionary, contested
     release()
-    by_block = blocks.groupBy("block")
-    todo = known.where("contested").select("phrase", "n", F.col("home").alias("block"))
-    strings = staged(by_block.cogroup(todo.groupBy("block")).applyInArrow(_suffixes(text, width), "string long, n long, block long"), "strings")
+    todo = known.where("contested")
+    total = todo.agg(F.sum("strings")).first()[0] or 0
+    strings = by_block.cogroup(todo.groupBy("block")).applyInArrow(_suffixes(text, width, int(total // 2_500_000) + 4), packed)
+    strings = staged(_repeated(strings), "strings")
     release()
-    repeated = strings.groupBy("string").agg(F.sum("n").alias("total")).where("total > 1").select("string")
-    marks = parse.select("phrase", "block").join(known, "phrase").select("block", F.when(F.col("n") > 1, 0).otherwise(2).alias("kind"), F.col("phrase").alias("key"))
-    marks = marks.union(strings.select("string", "block").join(repeated, "string").select("block", F.lit(1), "string"))
-    marks = staged(marks, "marks")
+    kind = F.when(F.col("n") > 1, 0).otherwise(2).alias("kind")
+    marks = parse.select("phrase", "block").join(known.drop("block"), "phrase").select("block", kind, F.col("phrase").alias("key"), F.lit(None).cast("binary").alias("keys"))
+    marks = staged(marks.union(strings), "marks")
     release()
     fields = [docs.schema[c] for c in names if c not in RESULT] + T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in RESULT.items())).fields
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
