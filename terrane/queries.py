@@ -1,4 +1,6 @@
 """The queries of the library's own operators and the SQL that checks them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from terrane.plans import decisions, networks, panels
+
+QUERIES = {**panels.QUERIES, **networks.QUERIES, **decisions.QUERIES}
+SQL = {**panels.SQL, **networks.SQL, **decisions.SQL}
