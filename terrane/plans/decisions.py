@@ -79,10 +79,10 @@ add(
 
 def _configurations(s, d):
     part = table(s, d, "part", ["p_type", "p_size", "p_retailprice"])
-    return part.groupBy(F.col("p_type").alias("method"), (F.col("p_size") % 9 + 4).cast("int").alias("k")).agg(F.round(F.avg("p_retailprice") / 2000, 6).alias("stability"))
+    return part.groupBy(F.col("p_type").alias("method"), (F.col("p_size") % 9 + 4).cast("int").alias("k")).agg(F.round(F.avg("p_retailprice") / 1500, 6).alias("stability"))
 
 
-CONFIGURATIONS = "conf as (select p_type as method, cast(p_size % 9 + 4 as integer) as k, round(avg(p_retailprice) / 2000, 6) as stability from part group by 1, 2)"
+CONFIGURATIONS = "conf as (select p_type as method, cast(p_size % 9 + 4 as integer) as k, round(avg(p_retailprice) / 1500, 6) as stability from part group by 1, 2)"
 add("detailed_choice", lambda s, d: voting.detailed_choice(_configurations(s, d), 6, 0.5), f"with {CONFIGURATIONS} select method, min(k) as k from conf where k >= 6 and stability >= 0.5 group by 1")
 add(
     "share_sweep",
