@@ -5,9 +5,15 @@ the Jaccard bound becomes a bound k on the symmetric difference. The hash domain
 into n2 second-level parts; in some first-level part two similar sets differ by at most k2 shingles, so all but k2 of its
 second-level parts agree, and one of the enumerated subsets of n2 - k2 parts has the same signature on both sides.
 
-Skew: equal sets are one node; each block of documents keeps one member of a signature and links the others to it at once,
-so a signature held by a third of all documents reaches a bucket at most once per block. Similarity inside a component
-that is already connected is never computed.
+A signature with up to LIMIT members gives all their pairs; a longer one gives each member's pair with the least. Pairs are
+first held against a bound from small histograms of the sets (the distance of two histograms is never more than that of the
+sets), which clears away documents that merely share a passage; the rest are verified on whole texts. Then the long
+signatures are finished: a member takes part only if it has as many long signatures as any similar pair would have to share
+there, and only signatures whose members still lie in different components are looked at. What is left is compared in full, in tiles of
+bounded size that give links and no pairs; that step alone takes time by the square of a cluster of such texts.
+
+Skew: equal sets are one node; each block of documents sends at most LIMIT + 1 members of a signature to its bucket, so one
+held by a third of all documents stays small there. Similarity inside a component is not computed again.
 
 Edge cases: null or blank text has an empty set, n_shingles 0, no links and its own doc_id as component; fewer than w words
 are one shingle; repeated rows and equal texts are one node; a null doc_id counts last (its component is the smallest
@@ -22,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.common import U64, byte_codes, documents, mix, prefix_hash, release, runs, span_hash, staged, utf8
@@ -31,7 +37,11 @@ from terrane.llm.components import connected
 CODES = byte_codes(9, fold_case=True)
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
+RUN = 1 << 19  # bytes of text hashed at once
 BLOCK = 4 << 20  # bytes of text whose signatures are pre-aggregated together
+LIMIT = 8  # members of a signature of which all pairs are taken at once
+TILE = 1024  # texts that are compared with as many others at once
+COLUMNS = 4096  # shingles of a matrix
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,18 +64,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words, at = word_hashes(data, offsets)
     odd = [mix(np.array([i + 1], U64))[0] | U64(1) for i in range(width)]
-    n = len(words) - width + 1
-    rolled = mix(sum(words[i : i + n] * odd[i] for i in range(width))) if n > 0 else words[:0]
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        if b - a >= width:
-            x = np.sort(rolled[a : b - width + 1])
-            yield x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) > 1 else x
-        elif b > a:
-            yield mix(np.array([sum(int(w) * int(o) for w, o in zip(words[a:b], odd)) + (b - a) & (1 << 64) - 1], U64))
-        else:
-            yield words[:0]
+    for i, j in runs(offsets, RUN):
+        words, at = word_hashes(data, offsets[i : j + 1])
+        n = len(words) - width + 1
+        rolled = mix(sum(words[k : k + n] * odd[k] for k in range(width))) if n > 0 else words[:0]
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            if b - a >= width:
+                x = np.sort(rolled[a : b - width + 1])
+                yield x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) > 1 else x
+            elif b > a:
+                yield mix(np.array([sum(int(w) * int(o) for w, o in zip(words[a:b], odd)) + (b - a) & (1 << 64) - 1], U64))
+            else:
+                yield words[:0]
 
 
 def set_key(x: np.ndarray) -> int:
@@ -106,13 +117,14 @@ class Bands:
         k = 2 * most * (100 - self.percent) // (100 + self.percent)
         if k == 0:
             return None
-        n1, n2, k2 = (1, k + 3, k) if k <= 4 else (k // 2 + 2 + k // 32, 3, 1)
+        n1, n2, k2 = (1, k + 3, k) if k <= 4 else (k // 2 + 4 + k // 20, 3, 1)
         picks = np.array([[i in c for i in range(n2)] for c in combinations(range(n2), n2 - k2)], U64)
         return n1, n2, picks, n1 - k // (k2 + 1)
 
 
-def signatures(x: np.ndarray, bands: Bands) -> list[np.ndarray]:
-    """All signatures of a sorted set.
+def signatures(x: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, int, int]]:
+    """All signatures of a sorted set: for each of its bands the signatures, the band's parity, and how many of them the set
+    shares with any similar set of this band at least.
 
     A subset without shingles is left out, unless the set has so many empty ones that the parts that must agree could all
     be among them; then all are given. Two similar sets share a signature in either case.
@@ -132,209 +144,289 @@ def signatures(x: np.ndarray, bands: Bands) -> list[np.ndarray]:
         full = (np.diff(at).reshape(n1, n2) @ picks.T.astype(np.int64)) > 0
         place = np.arange(sums.size, dtype=U64).reshape(sums.shape) + U64(label << 40)
         sig = mix(sums + mix(place))
-        out.append(sig[full] if (~full).any(1).sum() < sure else sig.ravel())
+        empty = int((~full).any(1).sum())
+        out.append((sig[full], label & 1, sure - empty) if empty < sure else (sig.ravel(), label & 1, 1))
     return out
 
 
+def histogram(x: np.ndarray) -> bytes | None:
+    """Counts of a set's shingles in equal shares of the hash domain, about four to eight to each; None if one is over 255."""
+    bits = max(0, len(x).bit_length() - 3)
+    counts = np.bincount((x >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+
+
+def least_distance(x: bytes, y: bytes) -> int:
+    """A lower bound of the sets' symmetric difference."""
+    a, b = (np.frombuffer(h, np.uint8).astype(np.int64) for h in (x, y))
+    n = min(len(a), len(b))
+    return int(np.abs(a.reshape(n, -1).sum(1) - b.reshape(n, -1).sum(1)).sum())
+
+
 def _sets(width: int):
-    """doc_id, n_shingles and node of each document."""
+    """doc_id, n_shingles, node and histogram of each document."""
 
     def run(batches):
         for b in batches:
-            data, offsets = utf8(b.column("text"))
-            sizes, nodes = [], []
-            for i, j in runs(offsets, BLOCK):
-                for x in shingle_sets(data, offsets[i : j + 1], width):
-                    sizes.append(len(x))
-                    nodes.append(set_key(x) if len(x) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
+            rows = [(len(x), set_key(x) if len(x) else None, histogram(x)) for x in shingle_sets(*utf8(b.column("text")), width)]
+            n, nodes, shapes = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(shapes, pa.binary())], ["doc_id", "n_shingles", "node", "shape"])
 
     return run
 
 
+MET = "a long, b long, sig long, need int"
+
+
+def _rows(bucket=None, blob=None, a=None, b=None, sig=None, need=None) -> pa.RecordBatch:
+    n = len(blob if a is None else a)
+    have = [(bucket, pa.int32()), (blob, pa.binary()), (a, pa.int64()), (b, pa.int64()), (sig, pa.int64()), (need, pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in have], ["bucket", "blob", "a", "b", "sig", "need"])
+
+
 def _emit(width: int, percent: int, buckets: int):
-    """Per block: pairs of members of one signature, and for each bucket a packed list of (signature, one member)."""
+    """Per block: rows of long signatures, and for each bucket a packed list of (signature, member)."""
 
     def run(batches):
         bands = Bands(percent)
         for b in batches:
             data, offsets = utf8(b.column("text"))
             for i, j in runs(offsets, BLOCK):
-                sig, node, seen = [], [], set()
+                sets = {}
                 for x in shingle_sets(data, offsets[i : j + 1], width):
-                    if len(x) and (key := set_key(x)) not in seen:
-                        seen.add(key)
-                        for s in signatures(x, bands):
-                            sig.append(s)
-                            node.append(np.full(len(s), key, np.int64))
-                if sig:
-                    yield from _packed(np.concatenate(sig), np.concatenate(node), buckets)
+                    if len(x) and (key := set_key(x)) not in sets:
+                        sets[key] = signatures(x, bands)
+                names = np.array(sorted(k for k, found in sets.items() if found), np.int64)
+                if len(names):
+                    yield from _packed(names, [sets[k] for k in names.tolist()], buckets)
 
     return run
 
 
-def _grouped(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by signature and node, without repeats; where each signature begins."""
-    order = np.argsort(sig, kind="stable")
-    sig, node = sig[order], node[order]
-    same = np.flatnonzero(sig[1:] == sig[:-1])
-    if len(same):  # few signatures have several members; only those rows need the second key
-        rows = np.unique(np.concatenate((same, same + 1)))
-        order = np.lexsort((node[rows], sig[rows]))
-        sig[rows], node[rows] = sig[rows][order], node[rows][order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[new], node[new]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
-    return sig, node, first
-
-
-def _pairs(node: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each distinct pair of a signature's least member and another of its members."""
-    other = np.flatnonzero(~first)
-    pivot = np.flatnonzero(first)[np.cumsum(first)[other] - 1]
-    found = np.unique(np.stack((node[other], node[pivot])), axis=1)
-    return found[0], found[1]
-
-
-def _rows(bucket=None, blob=None, a=None, b=None) -> pa.RecordBatch:
-    n = len(blob if a is None else a)
-    have = [(bucket, pa.int32()), (blob, pa.binary()), (a, pa.int64()), (b, pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in have], ["bucket", "blob", "a", "b"])
-
-
-def _packed(sig: np.ndarray, node: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A bucket is an equal share of the signatures' range; inside it the 40 leading bits are kept, so that chance
-    meetings stay a fixed small share of the signatures however many there are (pairs are verified in any case)."""
-    sig, node, first = _grouped(sig, node)
-    if not first.all():
-        a, b = _pairs(node, first)
-        yield _rows(bucket=(-1 - a % buckets).astype(np.int32), a=a, b=b)
-        sig, node = sig[first], node[first]  # sorted, so that a bucket is a run
+def _ranks(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted signatures: each row's place among its signature's, and their number."""
+    start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    size = np.diff(np.append(start, len(sig)))
+    return np.arange(len(sig)) - np.repeat(start, size), np.repeat(size, size)
+
+
+def _long(sig: np.ndarray, member: np.ndarray, need: np.ndarray, rank: np.ndarray, size: np.ndarray, packed: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (member, least member, signature, need) of signatures with more than LIMIT members."""
+    at = np.flatnonzero(size > LIMIT)
+    if len(at):
+        yield _rows(bucket=None if packed else (-1 - at % 64).astype(np.int32), a=member[at], b=member[at - rank[at]], sig=sig[at].view(np.int64), need=need[at])
+
+
+def _packed(names: np.ndarray, found: list[list[tuple[np.ndarray, int, int]]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A bucket is an equal share of the signatures' range; inside it 39 leading bits and the band's parity are kept, so
+    that chance meetings stay a fixed small share of the signatures however many there are (pairs are verified in any case)."""
     share = (1 << 64) // buckets + 1
-    at = np.concatenate(([0], np.searchsorted(sig, np.array([share * k for k in range(1, buckets)], U64)), [len(sig)]))
+    sig = np.concatenate([x for one in found for x, _, _ in one])
+    which = np.concatenate([np.full(len(x), w, np.uint8) for one in found for x, w, _ in one])
+    own = np.repeat(np.arange(len(found)), [sum(len(x) for x, _, _ in one) for one in found])
+    need = np.ones((len(found), 2), np.uint8)
+    for k, one in enumerate(found):
+        for _, w, n in one:
+            need[k, w] = min(n, 255)
+    bucket = sig // U64(share)
+    sig = bucket << U64(40) | (sig - bucket * U64(share)) >> U64(max(0, share.bit_length() - 39)) << U64(1) | which
+    order = np.argsort(sig, kind="stable")  # names are sorted, so members are too
+    sig, own = sig[order], own[order]
+    rank, size = _ranks(sig)
+    yield from _long(sig, names[own], need[own, (sig & U64(1)).astype(int)], rank, size)
+    sent = rank <= LIMIT
+    sig, own = sig[sent], own[sent]
+    at = np.searchsorted(sig, np.arange(buckets + 1, dtype=U64) << U64(40))
     full = np.flatnonzero(np.diff(at))
-    names, back = np.unique(node, return_inverse=True)
     blobs = []
     for k in full.tolist():
-        lead = (sig[at[k] : at[k + 1]] - U64(share * k)) >> U64(max(0, share.bit_length() - 40))
-        own, local = np.unique(back[at[k] : at[k + 1]], return_inverse=True)
-        local = local.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
-        blobs.append(np.array([len(lead), len(own)], np.int64).tobytes() + names[own].tobytes() + local.tobytes() + lead.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+        members, local = np.unique(own[at[k] : at[k + 1]], return_inverse=True)
+        local = local.astype(np.uint16 if len(members) <= 1 << 16 else np.uint32)
+        lead = sig[at[k] : at[k + 1]].view(np.uint8).reshape(-1, 8)[:, :5]
+        blobs.append(np.array([len(lead), len(members)], np.int64).tobytes() + names[members].tobytes() + need[members].tobytes() + local.tobytes() + lead.tobytes())
     for k in range(0, len(blobs), 512):
         yield _rows(bucket=full[k : k + 512].astype(np.int32), blob=blobs[k : k + 512])
 
 
-def _unpacked(blob: memoryview) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(blob: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, m = np.frombuffer(blob, np.int64, 2).tolist()
+    names, need = np.frombuffer(blob, np.int64, m, 16), np.frombuffer(blob, np.uint8, 2 * m, 16 + 8 * m).reshape(m, 2)
     kind = np.dtype(np.uint16 if m <= 1 << 16 else np.uint32)
+    local = np.frombuffer(blob, kind, n, 16 + 10 * m)
     lead = np.zeros((n, 8), np.uint8)
-    lead[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 16 + 8 * m + kind.itemsize * n).reshape(-1, 5)
-    return lead.view(U64).ravel(), np.frombuffer(blob, np.int64, m, 16)[np.frombuffer(blob, kind, n, 16 + 8 * m)]
+    lead[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 16 + 10 * m + kind.itemsize * n).reshape(-1, 5)
+    lead = lead.view(U64).ravel()
+    return lead, names[local], need[local, (lead & U64(1)).astype(int)]
 
 
 def _meet(key: tuple, table: pa.Table) -> pa.Table:
-    """A bucket's pairs; what was paired inside a block passes."""
+    """A bucket's pairs, and rows of its long signatures; those of a block pass."""
+    names = ["a", "b", "sig", "need"]
     if key[0].as_py() < 0:
-        return table.select(["a", "b"])
-    parts = [_unpacked(memoryview(x.as_buffer())) for x in table.column("blob")]
-    _, node, first = _grouped(np.concatenate([s for s, _ in parts]), np.concatenate([m for _, m in parts]))
-    a, b = _pairs(node, first)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _bodies(width: int):
-    """node and text of each distinct set in a task."""
+        return table.select(names)
+    sig, member, need = (np.concatenate(x) for x in zip(*(_unpacked(memoryview(x.as_buffer())) for x in table.column("blob"))))
+    order = np.argsort(sig, kind="stable")
+    sig = sig[order]
+    many = np.flatnonzero(sig[1:] == sig[:-1])
+    many = np.unique(np.concatenate((many, many + 1)))  # few signatures have several members
+    sig, order = sig[many], order[many]
+    member, need = member[order], need[order]
+    order = np.lexsort((member, sig))
+    sig, member, need = sig[order], member[order], need[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])
+    sig, member, need = sig[new], member[new], need[new]
+    rank, size = _ranks(sig) if len(sig) else (np.empty(0, int), np.empty(0, int))
+    pairs = [np.empty((2, 0), np.int64)]
+    for d in range(1, LIMIT):
+        at = np.flatnonzero((rank >= d) & (size <= LIMIT))
+        pairs.append(np.stack((member[at], member[at - d])))
+    a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    whole = sig + (U64(key[0].as_py()) << U64(40))
+    return pa.Table.from_batches([x.select(names) for x in (_rows(a=a, b=b), *_long(whole, member, need, rank, size, True))])
+
+
+def _near(percent: int):
+    """Pairs that the histograms don't rule out."""
 
     def run(batches):
-        seen = set()
         for b in batches:
-            data, offsets = utf8(b.column("text"))
-            for i, j in runs(offsets, BLOCK):
-                keys = [set_key(x) if len(x) else None for x in shingle_sets(data, offsets[i : j + 1], width)]
-                fresh = [k for k, key in enumerate(keys) if key is not None and not (key in seen or seen.add(key))]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in fresh], pa.int64()), b.column("text").slice(i, j - i).take(pa.array(fresh, pa.int64()))], ["node", "text"])
+            cols = (b.column(c).to_pylist() for c in ("n_a", "n_b", "shape_a", "shape_b"))
+            good = [
+                100 * min(m, n) >= percent * max(m, n) and (x is None or y is None or (100 + percent) * least_distance(x, y) <= (100 - percent) * (m + n))
+                for m, n, x, y in zip(*cols)
+            ]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _signed(width: int, percent: int):
-    """All signatures of texts, a row each."""
+def _similar(width: int, percent: int):
+    """Pairs of texts whose sets are similar enough, by exact intersection."""
 
     def run(batches):
-        bands = Bands(percent)
         for b in batches:
-            for node, x in zip(b.column("node").to_pylist(), shingle_sets(*utf8(b.column("text")), width)):
-                sig = np.unique(np.concatenate([np.empty(0, U64), *signatures(x, bands)]))
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), node, np.int64))], ["sig", "node"])
+            good = []
+            for x, y in zip(shingle_sets(*utf8(b.column("text_a")), width), shingle_sets(*utf8(b.column("text_b")), width)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _similar(width: int, percent: int):
-    """Pairs of texts whose sets are similar enough, by exact intersection."""
+def _bodies(width: int):
+    """node and text of each distinct set in a task."""
 
     def run(batches):
+        seen = set()
         for b in batches:
-            good = []
-            for x, y in zip(shingle_sets(*utf8(b.column("text_a")), width), shingle_sets(*utf8(b.column("text_b")), width)):
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            keys = [set_key(x) if len(x) else None for x in shingle_sets(*utf8(b.column("text")), width)]
+            fresh = [k for k, key in enumerate(keys) if key is not None and not (key in seen or seen.add(key))]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in fresh], pa.int64()), b.column("text").take(pa.array(fresh, pa.int64()))], ["node", "text"])
 
     return run
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
-    a, b = (bodies.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_similar(width, percent), "a long, b long")
+def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, text: a text for each node wanted."""
+    chosen = sets.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    texts = docs.join(chosen, docs.doc_id.eqNullSafe(chosen.id), "left_semi").select("text")
+    bodies = texts.mapInArrow(_bodies(width), "node long, text string")
+    bodies = staged(bodies.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "bodies")
+    del chosen, texts
+    release()
+    return bodies
 
 
-def _apart(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose members lie in different components so far."""
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) of nodes the similar ones."""
+    shapes = sets.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("shape").alias("shape"))
     for k in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(k), F.col("component").alias(f"in_{k}")), k, "left")
-    return pairs.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).drop("in_a", "in_b")
+        pairs = pairs.join(shapes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("shape").alias(f"shape_{k}")), k)
+    near = staged(pairs.mapInArrow(_near(percent), "a long, b long"), "near")
+    bodies = _texts(docs, sets, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width)
+    a, b = (bodies.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    return staged(near.join(a, "a").join(b, "b").mapInArrow(_similar(width, percent), "a long, b long").distinct(), "links")
+
+
+def _unfinished(long: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """sig, node, component of long signatures whose members may be similar though in different components; None: none."""
+    rows = long.join(nodes, "node", "left").select("sig", "node", "need", F.coalesce("component", "node").alias("component"))
+    left = None
+    while True:
+        # A similar pair shares at least ``need`` signatures of a band; if these are all long, each of the two has so many.
+        torn = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
+        rows = rows.join(torn, "sig").withColumn("band", F.col("sig").bitwiseAND(F.lit(1)))
+        enough = rows.groupBy("node", "band").agg(F.count("*").alias("n"), F.min("need").alias("least")).where("n >= least").select("node", "band")
+        rows = staged(rows.join(enough, ["node", "band"]).drop("band"), "long")
+        before, left = left, rows.count()
+        if left == 0:
+            return None
+        if before is not None and left > 0.9 * before:
+            return rows
+
+
+def _tile(width: int, percent: int):
+    """Links between components among two lists of texts: all intersections at once, as products of 0/1 matrices."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        sides = []
+        for side in (left, right):
+            sets = list(shingle_sets(*utf8(side.column("text")), width))
+            size = np.array([len(x) for x in sets])
+            sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size, side.column("node").to_numpy(), side.column("component").to_numpy()))
+        common = np.intersect1d(sides[0][0], sides[1][0])
+        places = []
+        for x, row, _, _, _ in sides:
+            at = np.searchsorted(common, x).clip(0, max(0, len(common) - 1))
+            hit = common[at] == x if len(common) else np.zeros(len(x), bool)
+            order = np.argsort(at[hit], kind="stable")
+            places.append((at[hit][order], row[hit][order]))
+        (_, _, m, a, in_a), (_, _, n, b, in_b) = sides
+        both = np.zeros((len(m), len(n)), np.float32)
+        for start in range(0, len(common), COLUMNS):
+            parts = []
+            for (at, row), size in zip(places, (len(m), len(n))):
+                lo, hi = np.searchsorted(at, (start, start + COLUMNS))
+                part = np.zeros((size, min(COLUMNS, len(common) - start)), np.float32)
+                part[row[lo:hi], at[lo:hi] - start] = 1
+                parts.append(part)
+            both += parts[0] @ parts[1].T
+        good = (100 * both >= percent * (m[:, None] + n[None, :] - both)) & (in_a[:, None] != in_b[None, :])
+        i, j = np.nonzero(good)
+        _, one = np.unique(np.stack((in_a[i], in_b[j])), axis=1, return_index=True)  # a link for two components is enough
+        return pa.table([a[i[one]], b[j[one]]], schema=schema)
+
+    return run
 
 
-def _untested(pairs: DataFrame, split: DataFrame, nodes: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs that share a signature, lie in different components and haven't been compared.
+def _compared(docs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components among the members of long signatures, by comparing them in tiles.
 
-    Members of a signature have been compared with its least member only, which is enough where they all lie in one
-    component. In candidate groups that verification split every remaining pair is given.
+    Members that long signatures connect form a cluster; in it texts are dealt by size into tiles of about TILE, and tiles of
+    like sizes meet. Every pair is compared, but pairs are never rows: a tile against a tile is a matrix product.
     """
-    reach = connected(pairs)
-    torn = split.join(reach, split.a == reach.node).select(F.col("component").alias("reach")).distinct()
-    rest = reach.withColumnRenamed("component", "reach").join(torn, "reach").select("node")
-    signed = staged(bodies.join(rest, "node").mapInArrow(_signed(width, percent), "sig long, node long"), "signed")
-    several = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
-    member = staged(signed.join(several, "sig").join(nodes, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component")), "member")
-    apart = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    x, y = (member.join(apart, "sig").select("sig", F.col("node").alias(k), F.col("component").alias(f"in_{k}")) for k in "ab")
-    more = x.join(y, "sig").where("in_a < in_b").select("a", "b").distinct()
-    tested = pairs.select("a", "b")
-    return more.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti")
-
-
-def _links(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
-    """node, component from candidate pairs (a, b, votes): each node's likeliest pair is verified first, then only pairs
-    whose members still lie apart, so that large groups of near copies cost about one comparison a member."""
-    best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
-    first = pairs.withColumn("k", F.row_number().over(best)).where("k = 1")
-    links = staged(_verified(first, bodies, width, percent), "links")
-    nodes = connected(links)
-    apart = staged(_apart(pairs.join(first, ["a", "b"], "left_anti"), nodes), "apart")
-    if not apart.isEmpty():
-        links = staged(links.union(_verified(apart, bodies, width, percent)), "links")
-        nodes = connected(links)
-    release()
-    split = staged(_apart(pairs, nodes), "split")
-    if not split.isEmpty():
-        more = staged(_untested(pairs, split, nodes, bodies, width, percent), "more")
-        links = staged(links.union(_verified(more, bodies, width, percent)), "links")
-        nodes = connected(links)
-    return nodes
+    least = rows.groupBy("sig").agg(F.min("node").alias("b"))
+    clusters = connected(rows.join(least, "sig").select(F.col("node").alias("a"), "b").distinct()).withColumnRenamed("component", "cluster")
+    wanted = rows.select("node", "component").distinct().join(clusters, "node")
+    sizes = sets.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"))
+    band = F.floor(2 * F.ln("n") / F.log(F.lit(100 / percent))).cast("int")
+    wanted = staged(wanted.join(sizes, "node").withColumn("band", band).drop("n"), "wanted")
+    many = wanted.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiles = many.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    x, y = (tiles.select("cluster", F.col("band").alias(f"band_{k}"), F.col("tile").alias(f"tile_{k}")) for k in "xy")
+    ahead = F.col("band_y") - F.col("band_x")  # a partner is at most 100 / percent times as large: two bands, and one for rounding
+    meet = x.join(y, "cluster").where(ahead.between(0, 3) & ((ahead > 0) | (F.col("tile_x") <= F.col("tile_y"))))
+    texts = _texts(docs, sets, wanted.select("node"), width)
+    dealt = wanted.join(texts, "node").join(many, ["cluster", "band"]).withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("int")).drop("tiles")
+    key = ["cluster", "band_x", "tile_x", "band_y", "tile_y"]
+    sides = (dealt.withColumnsRenamed({"band": f"band_{k}", "tile": f"tile_{k}"}).join(meet, ["cluster", f"band_{k}", f"tile_{k}"]).select(*(F.col(c).alias(c) for c in (*key, "node", "component", "text"))) for k in "xy")
+    left, right = (s.groupBy(*key) for s in sides)  # aliased, as both sides come from one table
+    return staged(left.cogroup(right).applyInArrow(_tile(width, percent), "a long, b long"), "tiled")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -343,24 +435,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     See the module's text for edge cases. 64-bit hashes stand for shingles and sets.
     """
     docs = docs.select("doc_id", "text")
-    sets = staged(docs.mapInArrow(_sets(width), "doc_id long, n_shingles long, node long"), "sets")
+    sets = staged(docs.mapInArrow(_sets(width), "doc_id long, n_shingles long, node long, shape binary"), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(8, int(total // 2_500_000) + 1)
-    emitted = docs.select("text").mapInArrow(_emit(width, percent, buckets), "bucket int, blob binary, a long, b long")
-    met = emitted.groupBy("bucket").applyInArrow(_meet, "a long, b long")
-    pairs = staged(met.groupBy("a", "b").agg(F.count("*").alias("votes")), "pairs")
-    del emitted, met
+    buckets = max(64, int(total // 2_500_000) + 1)
+    emitted = docs.select("text").mapInArrow(_emit(width, percent, buckets), f"bucket int, blob binary, {MET}")
+    met = staged(emitted.groupBy("bucket").applyInArrow(_meet, MET), "met")
+    del emitted
     release()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = sets.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    texts = docs.join(chosen, docs.doc_id.eqNullSafe(chosen.id), "left_semi").select("text")
-    bodies = staged(texts.mapInArrow(_bodies(width), "node long, text string"), "bodies")
-    del wanted, chosen, texts
+    pairs = staged(met.where("a <> b").select("a", "b").distinct(), "pairs")
+    links = _verified(docs, sets, pairs, width, percent)
+    release()
+    nodes = connected(links)
+    long = staged(met.where("sig is not null").select("sig", F.col("a").alias("node"), "need").distinct(), "long")
+    if not long.isEmpty() and (rest := _unfinished(long, nodes)) is not None:
+        nodes = connected(links.union(_compared(docs, sets, rest, width, percent)))
     release()
-    nodes = _links(pairs, bodies, width, percent)
     key = F.coalesce("component", "node", F.xxhash64("doc_id", F.lit("alone")))
     named = sets.join(nodes, "node", "left").select("doc_id", "n_shingles", key.alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = staged(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")  # a large component can be split
     return named.join(least, "component").select("doc_id", "n_shingles", "component_id")
 
 

@@ -1,11 +1,13 @@
+import random
 import re
 from itertools import combinations
 
 import numpy as np
-from helpers import awkward, table
+import pytest
+from helpers import WORDS, awkward, prose, table
 
 from terrane.llm.components import connected
-from terrane.llm.jaccard_join import Bands, jaccard_components, signatures
+from terrane.llm.jaccard_join import Bands, histogram, jaccard_components, least_distance, signatures
 
 
 def brute(rows, width=5, percent=80):
@@ -35,6 +37,24 @@ def test_brute_force(spark):
         assert sorted(map(tuple, jaccard_components(table(spark, rows)).collect()), key=str) == brute(rows)
 
 
+def near_group(seed, n=150):
+    """A chain of edits: neighbours are alike, the ends aren't; and documents that only share a passage."""
+    rng = random.Random(seed)
+    words, passage = prose(rng, 120).split(" "), prose(rng, 60)
+    rows = []
+    for i in range(n):
+        words[rng.randrange(len(words))] = f"{rng.choice(WORDS)}{rng.randrange(99)}"
+        rows.append((rng.randrange(10**6), " ".join(words), "en", "a", 0, "", 0))
+        rows.append((rng.randrange(10**6), f"{passage} {prose(rng, rng.choice([2, 5, 30]))}", "en", "a", 0, "", 0))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_long_signatures(spark, seed):
+    rows = near_group(seed)
+    assert sorted(map(tuple, jaccard_components(table(spark, rows)).collect()), key=str) == brute(rows)
+
+
 def test_empty(spark):
     assert jaccard_components(table(spark, [])).collect() == []
     assert [tuple(r) for r in jaccard_components(table(spark, [(5, None, None, None, 0, None, None)])).collect()] == [(5, 0, 5)]
@@ -50,7 +70,13 @@ def test_similar_sets_share_a_signature():
             y = np.unique(np.concatenate((rng.permutation(x)[: len(x) - lost], rng.integers(0, 1 << 63, added, dtype=np.uint64))))
             both = len(np.intersect1d(x, y))
             if 100 * both >= 80 * (len(x) + len(y) - both) and not np.array_equal(x, y):
-                assert set(np.concatenate(signatures(x, bands)).tolist()) & set(np.concatenate(signatures(y, bands)).tolist())
+                shared = 0
+                for (s, _, need), (t, _, too) in [(p, q) for p in signatures(x, bands) for q in signatures(y, bands)]:
+                    n = len(set(s.tolist()) & set(t.tolist()))
+                    assert n == 0 or n >= max(need, too) or 1 in (need, too)
+                    shared += n
+                assert shared
+                assert (100 + 80) * least_distance(histogram(x), histogram(y)) <= (100 - 80) * (len(x) + len(y))
 
 
 def test_components(spark):
