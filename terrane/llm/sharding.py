@@ -85,7 +85,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     same = ["mark", "text_crc32", "size"]
     group = rows.groupBy(*same).agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.count("*").alias("copies"))
     octave = F.least(F.floor(F.log2("size")).cast("int"), F.lit(cells - 1))
-    group = group.select(*same, "copies", hilbert_index([F.col("lang"), F.col("source"), octave], SIDE_BITS).alias("cell"))
+    # Written first: then both sides of the join are plain exchanges, and a group of many copies can be split.
+    group = staged(group.select(*same, "copies", hilbert_index([F.col("lang"), F.col("source"), octave], SIDE_BITS).alias("cell")), "groups")
     placed = rows.drop("lang", "source").join(group, same)
     large = F.col("copies") * F.col("size") * WHOLE > target
     placed = placed.withColumn("large", large).withColumn("spread", F.when(large, F.xxhash64("doc_id")))
