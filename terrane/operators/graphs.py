@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.operators.shared import written
+from terrane.operators.shared import row_numbers, written
 
 TILE = 2048  # vectors of a block; a tile is a block against a block
 PLACES = 9  # digits by which similarities are compared, so that ties don't depend on the order of sums
@@ -229,12 +229,11 @@ def same_share(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def shuffled_labels(labels: DataFrame, reps: int, seed: int = 42) -> DataFrame:
-    """rep, id, label: the labels dealt out anew in each repeat, sizes kept. Each repeat is ordered on its own."""
+    """rep, id, label: the labels dealt out anew in each repeat, sizes kept."""
     each = labels.crossJoin(labels.sparkSession.range(reps).withColumnRenamed("id", "rep"))
-    by_id = Window.partitionBy("rep").orderBy("id")
-    by_draw = Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "id"), "id")
-    names = each.select("rep", "id", F.row_number().over(by_id).alias("n"))
-    return names.join(each.select("rep", "label", F.row_number().over(by_draw).alias("n")), ["rep", "n"]).select("rep", "id", "label")
+    names = row_numbers(each.select("rep", "id"), ["rep"], ["id"])
+    dealt = row_numbers(each.select("rep", "label", F.xxhash64(F.lit(seed), "rep", "id").alias("draw")), ["rep"], ["draw", "label"])
+    return names.join(dealt.select("rep", "label", "n"), ["rep", "n"]).select("rep", "id", "label")
 
 
 def join_count(pairs: DataFrame, labels: DataFrame, reps: int, seed: int = 42) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.operators.shared import ratio, squared_distance
+from terrane.operators.shared import ratio, row_numbers, squared_distance
 
 
 def block_matrix(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -159,10 +159,10 @@ def signed_z(value, mean, sd, direction: int):
 
 def subsamples(points: DataFrame, reps: int, share: float, seed: int = 42) -> DataFrame:
     """rep, and points: in each repeat exactly floor(share n) of them, without replacement."""
-    each = points.crossJoin(points.sparkSession.range(reps).withColumnRenamed("id", "rep"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "id"), "id"))
-    size = F.count("*").over(Window.partitionBy("rep"))
-    return each.withColumn("place", place).withColumn("size", size).where(F.col("place") <= F.floor(F.col("size") * share)).drop("place", "size")
+    size = int(points.count() * share)
+    each = points.select("id").crossJoin(points.sparkSession.range(reps).withColumnRenamed("id", "rep"))
+    drawn = row_numbers(each.withColumn("draw", F.xxhash64(F.lit(seed), "rep", "id")), ["rep"], ["draw", "id"]).where(F.col("n") <= size)
+    return drawn.select("rep", "id").join(points, "id")
 
 
 def bootstrap_ari(points: DataFrame, full: DataFrame, fit, reps: int = 20, share: float = 0.8, seed: int = 42) -> DataFrame:

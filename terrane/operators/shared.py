@@ -56,3 +56,25 @@ def mean_rank(order, *group: str):
     by = Window.partitionBy(*group).orderBy(order)
     same = Window.partitionBy(*group, order)
     return F.rank().over(by) + (F.count("*").over(same) - 1) / 2
+
+
+def row_numbers(df: DataFrame, group: list[str], order: list, name: str = "n") -> DataFrame:
+    """df with a number from 1 in each group by an order, for groups of any size.
+
+    Rows are range-partitioned by group and order, numbered inside their partition, and moved on by the counts of the
+    partitions before: a row for each partition and group. ``order`` should be total, or numbers of ties are arbitrary.
+    """
+    from pyspark.sql import Window
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in group] + [F.col(o) if isinstance(o, str) else o for o in order]
+    placed = written(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy("_part", *group).agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    same = placed["_part"] == counts["_part"]
+    for c in group:
+        same = same & placed[c].eqNullSafe(counts[c])
+    joined = placed.join(counts.select("_before", "_part", *group), same).drop(counts["_part"], *(counts[c] for c in group))
+    inside = Window.partitionBy("_part", *group).orderBy(*keys[len(group) :])
+    return joined.withColumn(name, F.col("_before") + F.row_number().over(inside)).drop("_part", "_before")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.operators.shared import mean_rank
+from terrane.operators.shared import mean_rank, row_numbers
 
 
 def weighted_mean(rows: DataFrame, key: str, value: str, weight: str, parts: list[str]) -> DataFrame:
@@ -54,12 +54,10 @@ def rank_in_group(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: n, rho from mean ranks. The ranks need a total order; ties and all, of distinct values."""
-    counted = lambda c: rows.groupBy(c).agg(F.count("*").alias("n"))
+    """One row: n, rho from mean ranks."""
 
     def ranks(c: str, name: str) -> DataFrame:
-        below = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-        return counted(c).select(c, (below + (F.col("n") + 1) / 2).alias(name))
+        return row_numbers(rows.select(c), [], [c]).groupBy(c).agg(F.avg("n").alias(name))
 
     both = rows.select(x, y).join(ranks(x, "rx"), x).join(ranks(y, "ry"), y)
     rho = F.try_divide(F.covar_pop("rx", "ry"), F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0)))

@@ -187,16 +187,17 @@ add(
 
 
 def _named(s, d):
-    nation = table(s, d, "nation").select(name_key(F.substring("n_name", 1, 1)).alias("key"), "n_name")
-    rows = table(s, d, "supplier").select("s_suppkey", name_key(F.substring(F.concat(F.lit("  "), F.element_at(F.split(F.lit("A B C E F G I J K M P R S U V"), " "), (F.col("s_suppkey") % 15 + 1).cast("int"))), 1, 9)).alias("key"))
+    """Suppliers by a shortened nation name; names that several nations share match nothing."""
+    nation = table(s, d, "nation").select(name_key(F.concat(F.lit("  "), F.substring("n_name", 1, 8))).alias("key"), "n_name")
+    rows = table(s, d, "supplier").select("s_suppkey", name_key(F.concat(F.lit("Nation_"), F.pmod("s_nationkey", F.lit(10)), F.lit(" "))).alias("key"))
     return validate.unique_name_join(rows, nation, "key")
 
 
 add(
     "unique_name_join",
     _named,
-    """select s_suppkey, key, n_name from (select s_suppkey, lower(string_split('A B C E F G I J K M P R S U V', ' ')[s_suppkey % 15 + 1]) as key from supplier)
-    left join (select lower(n_name[1]) as key, max(n_name) as n_name from nation group by 1 having count(*) = 1) using (key)""",
+    """select s_suppkey, key, n_name from (select s_suppkey, 'nation_' || (s_nationkey % 10) as key from supplier)
+    left join (select lower(substr(n_name, 1, 8)) as key, max(n_name) as n_name from nation group by 1 having count(*) = 1) using (key)""",
 )
 add(
     "weighted_mean",
