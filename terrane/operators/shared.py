@@ -29,6 +29,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='terrane-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"

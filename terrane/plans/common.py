@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators import features, graphs, panel
-from terrane.operators.shared import rounded
+from terrane.operators.shared import rounded, written
 from terrane.sources import table
 
 K_NN = 15
@@ -38,11 +38,11 @@ def graph(spark, sf: str, k: int = K_NN) -> DataFrame:
 
 
 def window_labels(spark, sf: str) -> DataFrame:
-    """id, window, label, confidence."""
+    """id, window, label, confidence; written, as moves between windows read it several times."""
     level = features.window_level(complete(spark, sf), 8, 4).select(F.col("entity").alias("id"), (F.col("window") / 4).cast("int").alias("window"), F.round("level", 9).alias("level"))
     by = Window.partitionBy("window")
     place = F.row_number().over(by.orderBy("level", "id")) - 1
-    return level.select("id", "window", F.floor(place * 4 / F.count("*").over(by)).cast("int").alias("label"), F.abs("level").alias("confidence"))
+    return written(level.select("id", "window", F.floor(place * 4 / F.count("*").over(by)).cast("int").alias("label"), F.abs("level").alias("confidence")))
 
 
 CELLS = """cells as (

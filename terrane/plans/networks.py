@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrane.operators import clustering, explain, features, graphs, quality
+from terrane.operators.shared import written
 from terrane.plans.common import POINTS, complete, graph, knn, labels, points, query, wrapped
 from terrane.plans.panels import SERIES
 from terrane.sources import table
@@ -211,16 +212,16 @@ dist as (select t.id, c.label, pow(list_distance(p.vec, c.centre), 2) + rho * (s
 
 
 def _combined(s, d):
-    p, g = points(s, d), graph(s, d)
-    terms = clustering.network_terms(g, p)
+    p, g = points(s, d), written(graph(s, d))
+    terms = written(clustering.network_terms(g, p))
     weight = clustering.network_weight(p, terms, 0.4)
     return clustering.combined_step(p, g, terms, p.select("id", "label"), weight)
 
 
 add("kefrin_step", _combined, wrapped("select id, arg_min(label, d) as label, min(d) as d from dist group by 1", "id, label", "d", NET))
-add("kefrin_labels", lambda s, d: clustering.kefrin(points(s, d), graph(s, d), 6, steps=4))
+add("kefrin_labels", lambda s, d: clustering.kefrin(points(s, d), written(graph(s, d)), 6, steps=4))
 add("warm_labels", lambda s, d: clustering.warm_kmeans(points(s, d), labels(s, d), 4))
-add("community_labels", lambda s, d: clustering.communities(graph(s, d), points(s, d), steps=6))
+add("community_labels", lambda s, d: clustering.communities(written(graph(s, d)), points(s, d), steps=6))
 add("ward_labels", lambda s, d: clustering.ward(points(s, d), 6))
 add("gmm_labels", lambda s, d: clustering.mixture(points(s, d).withColumn("vec", F.slice("vec", 1, 6)), 4))
 add("spectral_labels", lambda s, d: clustering.spectral(graph(s, d), graph(s, d, 10), 4))

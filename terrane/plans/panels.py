@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import bin_of, month_of, signed_percent
 from terrane.operators import features, panel
+from terrane.operators.shared import written
 from terrane.plans.common import CELLS, cells, complete, query, wrapped
 from terrane.sources import table
 
@@ -77,8 +78,8 @@ add(
 
 
 def long_features(s, d):
-    """entity, block, feature, value."""
-    full = complete(s, d)
+    """entity, block, feature, value; the panel is written first, as five scans of the facts cost more."""
+    full = written(complete(s, d))
     level = features.level(full).select("entity", F.lit("level").alias("block"), F.lit("level").alias("feature"), F.col("level").alias("value"))
     profile = features.profile(full).select("entity", F.lit("profile"), F.col("category"), F.col("profile"))
     season = features.season(full, HIGH, "R").unpivot("entity", ["season_amp", "high_all", "high_category"], "feature", "value")
@@ -92,9 +93,16 @@ scaler0 as (select block, feature, median(value) as center, quantile_cont(value,
 scaler as (select block, feature, center, case when iqr > 1e-12 then iqr else sd + 1e-12 end as scale,
   case block when 'season' then 0.7 else 1.0 end / sqrt(count(*) over (partition by block)) as weight from scaler0)"""
 add("robust_scaler", lambda s, d: features.fit_scaler(long_features(s, d), WEIGHTS), wrapped("select * from scaler", "block, feature", "center, scale, weight", LONG))
+
+
+def _scaled(s, d):
+    long = written(long_features(s, d))
+    return features.transform(long, features.fit_scaler(long, WEIGHTS)).select("entity", "block", "feature", "value")
+
+
 add(
     "robust_scale",
-    lambda s, d: features.transform(long_features(s, d), features.fit_scaler(long_features(s, d), WEIGHTS)).select("entity", "block", "feature", "value"),
+    _scaled,
     wrapped("select entity, block, feature, (value - center) / scale * weight as value from feats join scaler using (block, feature)", "entity, block, feature", "value", LONG),
 )
 add(
