@@ -5,14 +5,17 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
@@ -21,9 +24,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where that is unset (tests, local mode)."""
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only where that is unset on a single machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='terrane-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -32,11 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The table is deleted when the driver's Python ends.
+    Shuffle files of the write go when it ends, as its plan isn't run again. The table is deleted when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terrane-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
     if not _STAGED:
         atexit.register(_drop_staged)
     _STAGED.append((spark, path))
@@ -44,16 +54,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def release() -> None:
-    """Let Spark remove the shuffle files of finished phases, whose plans nobody holds any more."""
+    """Let Spark remove the shuffle files of finished phases, whose plans nobody holds any more.
+
+    The gateway tells the JVM of dropped references once a second, so on a cluster this waits a little longer than that.
+    """
     gc.collect()
     if spark := SparkSession.getActiveSession():
+        if not spark.sparkContext.master.startswith("local["):
+            time.sleep(1.2)
         spark.sparkContext._jvm.System.gc()
 
 
 def _drop_staged() -> None:
     for spark, path in _STAGED:
         try:
-            jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # noqa: BLE001  the session has ended before the interpreter
             return
@@ -89,6 +104,33 @@ def runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def numbered_runs(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Blocks of consecutive rows, with numbers that are the same whenever the same input is read."""
+    seq = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for i, j in runs(utf8(batch.column(text))[1], limit):
+            yield seq, batch.slice(i, j - i)
+            seq += 1
+
+
+def pack_blocks(names: list[str], text: str, limit: int):
+    """block, body: consecutive documents as one compressed Arrow stream, for mapInArrow."""
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for seq, rows in numbered_runs(batches, text, limit):
+            sink, part = pa.BufferOutputStream(), pa.table({c: rows.column(c) for c in names})
+            with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
+                writer.write_table(part.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "body"])
+
+    return run
+
+
+def unpack_block(x: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(x.as_buffer())).read_all().combine_chunks()
+
+
 # --- Polynomial hashing modulo 2**64, vectorised ----------------------------------------------------
 
 _BASE = U64(0x9E3779B97F4A7C15 | 1)

@@ -40,7 +40,7 @@ BLANK[[32, *range(9, 14)]] = True
 RUN = 1 << 19  # bytes of text hashed at once
 BLOCK = 4 << 20  # bytes of text whose signatures are pre-aggregated together
 LIMIT = 8  # members of a signature of which all pairs are taken at once
-TILE = 1024  # texts that are compared with as many others at once
+TILE = 512  # texts that are compared with as many others at once
 COLUMNS = 4096  # shingles of a matrix
 
 
@@ -437,7 +437,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     docs = docs.select("doc_id", "text")
     sets = staged(docs.mapInArrow(_sets(width), "doc_id long, n_shingles long, node long, shape binary"), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(64, int(total // 2_500_000) + 1)
+    buckets = max(64, int(total // 1_500_000) + 1)
     emitted = docs.select("text").mapInArrow(_emit(width, percent, buckets), f"bucket int, blob binary, {MET}")
     met = staged(emitted.groupBy("bucket").applyInArrow(_meet, MET), "met")
     del emitted
