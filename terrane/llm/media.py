@@ -1,7 +1,7 @@
 """Media columns kept as content-defined chunks.
 
 A payload is stored as an 8-bit mono WAV file, cut where a gear hash of the last 32 bytes has its low bits zero, so equal
-stretches give equal chunks wherever they stand. A chunk is named by its SHA-256 and kept once: a join with the table of
+stretches give equal chunks wherever they stand. A chunk is named by 128 bits of its SHA-256 and kept once: a join with the table of
 owners (the least medium and place that has the chunk) lets only the owner's copy into the store. A medium is its ordered
 list of chunks. Reading puts chunks back in order, verifies each digest and the whole, and takes samples from the file.
 
@@ -33,7 +33,8 @@ UNIT, PAD, RATE = 576, b"\xff", 8000
 LEAST, MEAN_BITS, MOST = 1 << 10, 12, 1 << 14  # bytes of a chunk: at least, 2**bits more on average, at most
 GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
 SAMPLE = 300
-LEVEL = 6
+LEVEL = 15  # bytes on disk count for more than the time to pack them once
+NAME = 16  # bytes of a SHA-256 that name a chunk or a medium
 
 
 def payload(text: bytes) -> bytes:
@@ -85,12 +86,16 @@ def _payloads(batch: pa.RecordBatch, text: str) -> Iterator[tuple[bytes, int]]:
         yield payload(data[a:b].tobytes()), b - a
 
 
+def name_of(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:NAME]
+
+
 def _listed(text: str):
     def run(batches):
         for b in batches:
             rows = []
             for samples, n in _payloads(b, text):
-                rows.append((n, hashlib.sha256(samples).digest(), [hashlib.sha256(c).digest() for c in chunks(to_file(samples))]))
+                rows.append((n, name_of(samples), [name_of(c) for c in chunks(to_file(samples))]))
             n, media, digests = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "medium", "digests"])
 
@@ -111,9 +116,9 @@ def _bodies(text: str, shipped):
         for b in batches:
             rows = []
             for samples, _ in _payloads(b, text):
-                if (medium := hashlib.sha256(samples).digest()) not in seen:
+                if (medium := name_of(samples)) not in seen:
                     seen.add(medium)
-                    rows += [(medium, k, hashlib.sha256(c).digest(), pack.compress(c)) for k, c in enumerate(chunks(to_file(samples)))]
+                    rows += [(medium, k, name_of(c), pack.compress(c)) for k, c in enumerate(chunks(to_file(samples)))]
             for i in range(0, len(rows), 2000):
                 part = list(zip(*rows[i : i + 2000]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, (pa.binary(), pa.int32(), pa.binary(), pa.binary()))], ["medium", "place", "digest", "body"])
@@ -132,8 +137,13 @@ class Store(NamedTuple):
 
 
 def fitted_dictionary(docs: DataFrame, text: str = "text") -> bytes:
-    """A compression dictionary from SAMPLE documents, chosen by a hash of doc_id and text."""
-    rows = docs.select(text).orderBy(F.xxhash64("doc_id", text), text).limit(SAMPLE).collect()
+    """A compression dictionary from SAMPLE documents, chosen by a hash of doc_id and text.
+
+    A share of the rows that holds several times as many is drawn first, so that tasks don't each send their own SAMPLE.
+    """
+    share = min(1.0, 4 * SAMPLE / max(1, docs.count()))
+    drawn = docs.withColumn("draw", F.xxhash64("doc_id", text)).where(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = drawn.select(text, "draw").orderBy("draw", text).limit(SAMPLE).collect()
     parts = [c for r in rows for c in chunks(to_file(payload((r[0] or "").encode())))]
     try:
         return zstandard.train_dictionary(112_640, parts[:2000]).as_bytes()
@@ -148,15 +158,16 @@ def store_media(docs: DataFrame, text: str = "text") -> Store:
     listed = staged(docs.mapInArrow(_listed(text), "doc_id long, n_bytes long, medium binary, digests array<binary>"), "listed")
     lists = listed.groupBy("medium").agg(F.min("digests").alias("digests")).select("medium", F.posexplode("digests").alias("place", "digest"))
     owners = lists.groupBy("digest").agg(F.min(F.struct("medium", "place")).alias("owner"), (F.count("*") > 1).alias("shared"))
-    lists = staged(lists.join(owners, "digest"), "lists")
-    own = (F.col("owner.medium") == F.col("medium")) & (F.col("owner.place") == F.col("place"))
-    kept = lists.where(own).select("digest", "medium", "place", "shared")
+    owners = staged(owners, "owners")  # written first, so that a hot chunk's rows can be split in the join
+    own = F.col("owner") == F.struct("medium", "place")
+    lists = staged(lists.join(owners, "digest").select("medium", "place", "digest", own.alias("own"), "shared"), "lists")
+    kept = lists.where("own").select("digest", "medium", "place", "shared")
     shipped = docs.sparkSession.sparkContext.broadcast(dictionary)
     bodies = docs.mapInArrow(_bodies(text, shipped), "medium binary, place int, digest binary, body binary")
     bodies = bodies.join(kept, ["digest", "medium", "place"]).dropDuplicates(["digest", "medium", "place"])
     bodies = staged(bodies.select("medium", "place", "digest", "shared", "body"), "chunks")
     release()
-    return Store(listed.select("doc_id", "n_bytes", "medium"), lists.where(~own).select("medium", "place", "digest"), bodies, dictionary)
+    return Store(listed.select("doc_id", "n_bytes", "medium"), lists.where("not own").select("medium", "place", "digest"), bodies, dictionary)
 
 
 MEDIA = "medium binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -175,7 +186,7 @@ def _assembled(shipped):
 
     def described(medium: bytes, data: bytes) -> tuple:
         samples = from_file(data)
-        if hashlib.sha256(samples).digest() != medium:
+        if name_of(samples) != medium:
             raise ValueError(f"medium {medium.hex()} is damaged")
         return medium, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples)
 
@@ -191,7 +202,7 @@ def _assembled(shipped):
                     data = []
                 medium = m
                 data.append(unpack.decompress(body))
-                if hashlib.sha256(data[-1]).digest() != digest:
+                if name_of(data[-1]) != digest:
                     raise ValueError(f"chunk {digest.hex()} is damaged")
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
