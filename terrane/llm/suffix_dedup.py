@@ -27,12 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm.common import U64, byte_codes, documents, mix, prefix_hash, release, runs, span_hash, staged, utf8
+from terrane.llm.common import U64, byte_codes, documents, mix, pack_blocks, prefix_hash, release, span_hash, staged, unpack_block, utf8
 
 CODES = byte_codes(5)
 TRIGGER = 8
@@ -78,28 +77,6 @@ def phrases(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple
         yield prefix, a, key, span_hash(prefix, f, l + width), f, l
 
 
-def _blocks(names: list[str], text: str):
-    """block, body: consecutive documents as one compressed Arrow stream."""
-
-    def run(batches):
-        seq = TaskContext.get().partitionId() << 32
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            for i, j in runs(utf8(batch.column(text))[1], BLOCK):
-                sink = pa.BufferOutputStream()
-                part = pa.table({c: batch.column(c).slice(i, j - i) for c in names})
-                with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
-                    writer.write_table(part.combine_chunks())
-                yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "body"])
-                seq += 1
-
-    return run
-
-
-def _body(x: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(pa.py_buffer(x.as_buffer())).read_all().combine_chunks()
-
-
 def _texts(part: pa.Table, text: str) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = utf8(part.column(text))
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -142,7 +119,7 @@ def _keys(text: str, width: int, buckets: int):
     def run(batches):
         for batch in batches:
             for block, body in zip(batch.column("block").to_pylist(), batch.column("body")):
-                keys, n = np.unique(np.concatenate([np.empty(0, U64), *(x[2] for x in phrases(*_texts(_body(body), text), width))]), return_counts=True)
+                keys, n = np.unique(np.concatenate([np.empty(0, U64), *(x[2] for x in phrases(*_texts(unpack_block(body), text), width))]), return_counts=True)
                 yield _packed(block, keys, n > 1, buckets)
 
     return run
@@ -161,7 +138,7 @@ def _parsed(text: str, width: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = _listed(right)
         found = [np.empty((3, 0), U64)]
-        for _, _, key, phrase, first, last in phrases(*_texts(_body(left.column("body")[0]), text), width) if len(left) and len(keys) else ():
+        for _, _, key, phrase, first, last in phrases(*_texts(unpack_block(left.column("body")[0]), text), width) if len(left) and len(keys) else ():
             hit = _among(key, keys)
             found.append(np.stack((key[hit], phrase[hit], (last - first + 1).astype(U64)[hit])))
         key, phrase, strings = np.concatenate(found, axis=1)
@@ -199,7 +176,7 @@ def _suffixes(text: str, width: int, buckets: int):
             order = np.argsort(names := _column(right, "phrase"))
             names, weight = names[order], right.column("n").to_numpy()[order]
             todo = np.ones(len(names), bool)
-            for prefix, _, _, phrase, first, last in phrases(*_texts(_body(left.column("body")[0]), text), width):
+            for prefix, _, _, phrase, first, last in phrases(*_texts(unpack_block(left.column("body")[0]), text), width):
                 phrase, at = np.unique(phrase, return_index=True)
                 hit = _among(phrase, names)
                 place = np.searchsorted(names, phrase[hit])
@@ -221,10 +198,10 @@ def _cut(text: str, width: int, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return schema.empty_table()
-        part = _body(left.column("body")[0])
+        part = unpack_block(left.column("body")[0])
         data, offsets = _texts(part, text)
         repeated, strings, contested = (_listed(right, kind) for kind in range(3))
-        edge = np.zeros(len(data) + 1, np.int64)
+        edge = np.zeros(len(data) + 1, np.int32)
         if len(repeated) or len(strings):
             for prefix, a, _, phrase, first, last in phrases(data, offsets, width):
                 hit = _among(phrase, repeated)
@@ -236,9 +213,11 @@ def _cut(text: str, width: int, schema: pa.Schema):
                     start = start[_among(span_hash(prefix, start, start + width), strings)]
                     np.add.at(edge, a + start, 1)
                     np.add.at(edge, a + start + width, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        before = np.concatenate(([0], np.cumsum(gone)))
-        removed = before[offsets[1:]] - before[offsets[:-1]]
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        del edge
+        before = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(gone, out=before[1:])
+        removed = (before[offsets[1:]] - before[offsets[:-1]]).astype(np.int64)
         began = gone.copy()
         began[1:] &= ~gone[:-1]
         began[offsets[:-1][offsets[:-1] < len(data)]] = gone[offsets[:-1][offsets[:-1] < len(data)]]
@@ -260,7 +239,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 200) -> Dat
     """Every row of docs with ``kept`` (its bytes without those covered by a string of ``width`` bytes that also starts
     elsewhere in the corpus), n_bytes, n_removed, n_spans and spans (maximal removed runs, in bytes). See the module's text."""
     names = [c for c in docs.columns if c not in RESULT or c == text]
-    blocks = staged(docs.select(names).mapInArrow(_blocks(names, text), "block long, body binary"), "blocks")
+    blocks = staged(docs.select(names).mapInArrow(pack_blocks(names, text, BLOCK), "block long, body binary"), "blocks")
     by_block = blocks.groupBy("block")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     packed = "bucket int, block long, n long, blob binary"
@@ -270,6 +249,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 200) -> Dat
     release()
     dictionary = staged(parse.groupBy("phrase").agg(*(F.min(c).alias(c) for c in ("key", "strings", "block")), F.sum("n").alias("n")), "phrases")
     contested = dictionary.groupBy("key").agg(F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("lo < hi").select("key", F.lit(True).alias("contested"))
+    contested = staged(contested, "contested")  # written first, so that a hot key's phrases can be split in the join
     known = dictionary.join(contested, "key", "left").withColumn("contested", F.coalesce("contested", F.lit(False)))
     known = staged(known.where("n > 1 or contested").drop("key"), "known")
     del dictionary, contested
