@@ -1,10 +1,11 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each source's target in words fixes an expected number of copies r of its documents: every document gets floor(r) copies
-and keeps the fraction as a probability. Pairs of documents of a source then pass probability between them, at random and
-without bias, so that their expected words together stay the same, until one of the two is sure to be taken or left; the
-other meets the next document. A group leaves one undecided document at most, groups' leftovers meet in the next level of
-a tree, and the root's last one is drawn. So each source's taken words differ from its target by less than one document.
+and keeps the fraction as a probability. Pairs then pass probability between them, at random and without bias, so that their
+expected words together stay the same, until one of the two is sure to be taken or left. In a group of a source all have one
+probability and the partner of a document is the pool of all smaller ones, so that large documents are decided first. A
+group leaves one undecided document at most, groups' leftovers meet pair by pair in the next level of a tree, and the root's
+last one is drawn. So each source's taken words differ from its target by less than one document, as a rule a small one.
 
 Groups are hash buckets of bounded size inside a source, so a source with a third of all rows is many groups. Draws come
 from seeded hashes of the rows: reruns agree. Only (doc_id, source, size) travel.
@@ -25,7 +26,7 @@ from terrane.llm.common import documents, staged
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times a source's size
-GROUP = 16_384
+GROUP = 2_048
 
 
 def n_words(text: F.Column) -> F.Column:
@@ -45,36 +46,67 @@ def targets(sizes: dict, weights: dict, most: int = MOST) -> dict:
     return out
 
 
+def _against_pool(p: list[float], a: list[int], luck: list[float]) -> None:
+    """Documents with one probability, largest first, each paired with the pool of all that follow: mass passes until the
+    document is decided, or the pool is. One document at most stays open, as a rule the smallest."""
+    rest, q = sum(a), p[0]
+    for i, size in enumerate(a):
+        rest -= size
+        if rest <= 0:
+            p[i] = q
+            p[i + 1 :] = [0.0] * (len(p) - i - 1)
+            return
+        up, down = min(1 - q, q * rest / size), min(q, (1 - q) * rest / size)
+        now = q + up if luck[i] * (up + down) < down else q - down
+        pool = min(1.0, max(0.0, q - (now - q) * size / rest))
+        if min(now, 1 - now) > 1e-12:
+            p[i], p[i + 1 :] = now, [float(round(pool))] * (len(p) - i - 1)
+            return
+        p[i], q = float(round(now)), pool
+        if min(q, 1 - q) <= 1e-12:
+            p[i + 1 :] = [float(round(q))] * (len(p) - i - 1)
+            return
+
+
+def _pair_by_pair(p: list[float], a: list[int], luck: list[float]) -> None:
+    """Documents with probabilities of their own: two meet, one is decided, the other meets the next."""
+    open_ = -1
+    for i in range(len(p)):
+        if not 0.0 < p[i] < 1.0:
+            continue
+        if open_ < 0:
+            open_ = i
+            continue
+        j = open_
+        up, down = min(a[i] * (1 - p[i]), a[j] * p[j]), min(a[i] * p[i], a[j] * (1 - p[j]))  # words from j to i, or from i to j
+        if luck[i] * (up + down) < down:
+            p[i], p[j] = p[i] + up / a[i], p[j] - up / a[j]
+        else:
+            p[i], p[j] = p[i] - down / a[i], p[j] + down / a[j]
+        open_ = next((k for k in (i, j) if 1e-12 < p[k] < 1 - 1e-12), -1)
+        for k in (i, j):
+            p[k] = p[k] if k == open_ else float(round(p[k]))
+
+
 def _paired(level: int, last: bool):
     """One group of the tree: chance is 0 or 1 for all rows but one at most; at the root for all."""
 
     def run(table: pa.Table) -> pa.Table:
-        names = ["draw", "doc_id", "size"]
-        table = table.sort_by([(c, "ascending") for c in names])
-        chance, size = table.column("chance").to_numpy().copy(), table.column("size").to_numpy()
+        # Large documents first: what stays undecided at the end, and misses the target, is then a small one.
+        table = table.sort_by([("size", "descending"), ("draw", "ascending"), ("doc_id", "ascending")])
+        chance, size = table.column("chance").to_numpy(), table.column("size").to_numpy()
         rng = np.random.Generator(np.random.PCG64([level, table.column("draw")[0].as_py() & (1 << 63) - 1, len(table)]))
         luck = rng.random(len(table) + 1).tolist()
-        p, a, open_ = chance.tolist(), size.tolist(), -1
-        for i in range(len(p)):
-            if not 0.0 < p[i] < 1.0:
-                continue
-            if open_ < 0:
-                open_ = i
-                continue
-            j = open_
-            up, down = min(a[i] * (1 - p[i]), a[j] * p[j]), min(a[i] * p[i], a[j] * (1 - p[j]))  # words from j to i, or from i to j
-            if luck[i] * (up + down) < down:
-                i_is_1 = a[i] * (1 - p[i]) <= a[j] * p[j]
-                p[i], p[j] = (1.0, p[j] - up / a[j]) if i_is_1 else (p[i] + up / a[i], 0.0)
-            else:
-                i_is_0 = a[i] * p[i] <= a[j] * (1 - p[j])
-                p[i], p[j] = (0.0, p[j] + down / a[j]) if i_is_0 else (p[i] - down / a[i], 1.0)
-            open_ = next((k for k in (i, j) if 1e-12 < p[k] < 1 - 1e-12), -1)
-            for k in (i, j):
-                p[k] = p[k] if k == open_ else float(round(p[k]))
-        if last and open_ >= 0:
-            p[open_] = float(luck[-1] < p[open_])
-        return table.set_column(table.column_names.index("chance"), "chance", pa.array(p, pa.float64()))
+        n = int((size > 0).sum())  # those without words are decided
+        p, a = chance[:n].tolist(), size[:n].tolist()
+        if n and min(p) == max(p) and 0 < p[0] < 1:
+            _against_pool(p, a, luck)
+        else:
+            _pair_by_pair(p, a, luck)
+        open_ = [i for i, x in enumerate(p) if 0 < x < 1]
+        if last and open_:
+            p[open_[0]] = float(luck[-1] < p[open_[0]])
+        return table.set_column(table.column_names.index("chance"), "chance", pa.array(np.concatenate((p, chance[n:])), pa.float64()))
 
     return run
 

@@ -17,7 +17,7 @@ def test_targets():
     assert mixing.targets({"a": 0}, {"a": 5}) == {"a": 0.0} and mixing.targets({}, {}) == {}
 
 
-@pytest.mark.parametrize("group", [16384, 4])
+@pytest.mark.parametrize("group", [2048, 4])
 def test_words_meet_targets(spark, monkeypatch, group):
     monkeypatch.setattr(mixing, "GROUP", group)
     rows = awkward(3)
