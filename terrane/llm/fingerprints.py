@@ -161,12 +161,10 @@ def bands(x: str, count: int = 32, bits: int = 8) -> list[int]:
     """Keys of banded samples: each band takes ``bits`` samples, spread over the fingerprint's octaves by weight."""
     if not x:
         return [0]
-    octaves, weight = _weights(len(x))
-    share = np.cumsum(weight) / weight.sum()
     a = np.frombuffer(x.encode(), np.uint8).astype(U64)
     # Positions depend on the number of octaves only, so that texts of like length sample the same steps.
-    full = 1 + sum(min(1 << b, SAMPLES) for b in range(int(octaves[-1])))
-    full = max(full, 1)
+    octaves, _ = _weights(len(x))
+    full = max(1, 1 + sum(min(1 << b, SAMPLES) for b in range(int(octaves[-1]))))
     _, weight = _weights(full)
     share = np.cumsum(weight) / weight.sum()
     draws = (mix(np.arange(count * bits, dtype=U64) + U64(0x5151)) >> U64(11)).astype(float) / (1 << 53)
