@@ -2,10 +2,16 @@
 
 Where no piece of the vocabulary holds a whitespace marker after another character, merges never cross from a word to the
 marker that follows, so a text's ids are those of its marked words (a run of markers and the characters up to the next), one
-after another. Each task keeps a table of the distinct marked words of its documents, segments and decodes each of them once
-by the library, and joins ids and text back by position, vectorised. The table is the task's own: a corpus has new words
-without end, and a table for all of it would move more bytes through a shuffle than the repeated segmentation costs; nothing
-is shuffled here, and a lost task is simply run again. It starts afresh beyond TABLE words, so memory stays bounded.
+after another. So:
+
+1. Each block of documents lists its distinct marked words, packed by hash into buckets.
+2. A bucket meets equal words of all blocks, segments and decodes each of them once by the library, and answers every block
+   with the ids of the words it listed, in that order.
+3. The answers meet the block's texts; ids and text are joined back by position, vectorised.
+
+A word comes once from a block, so no bucket is hot, however common a word is; what travels is the texts once, compressed,
+and the distinct words and ids of blocks. A block that finds an answer missing (its rows were dealt otherwise when read
+again) segments the words itself, so the result never depends on it.
 
 Models for which this doesn't hold (another normaliser, pieces across markers, no dummy prefix) are detected when the
 operator is built; they encode whole texts as single chunks, with the same result as the library's.
@@ -16,18 +22,21 @@ the input are replaced, other columns pass; repeated rows get equal results.
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from terrane.llm.common import documents, runs, utf8
+from terrane.llm.common import documents, numbered_runs, pack_blocks, runs, staged, trim, unpack_block, utf8
 
 MARKED = re.compile("[ ▁]+[^ ▁]*")
 BLOCK = 2 << 20
-TABLE = 300_000
 
 
 class Pieces:
@@ -38,55 +47,140 @@ class Pieces:
 
         sp = self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = (sp.id_to_piece(i) for i in range(sp.vocab_size()))
-        plain = all(sp.normalize(x) == "▁" + x.replace(" ", "▁") for x in ("a", " a  b\n", "ﬁ　Å Á​", "\t"))
+        plain = all(sp.normalize(x) == "▁" + x.replace(" ", "▁") for x in ("a", " a  b\n", "ﬁ　Å Á​", "\t"))
         self.by_word = plain and not any(re.search("[^▁]▁", p) for p in pieces)
         self.anchor = sp.encode("a")
         self.marker = sp.encode("a ")[len(self.anchor) :]
 
-    def chunk(self, c: str) -> tuple[list[int], str]:
-        """The ids of a marked word, and their text."""
-        ids = self.sp.encode(c[1:]) if len(c) > 1 else self.marker
-        return ids, self.sp.decode(self.anchor + ids)[1:]
-
+    def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+        """ids of marked words one after another, how many each has, and the text of the few that don't decode to themselves."""
+        found = iter(self.sp.encode([w[1:] for w in words if len(w) > 1], num_threads=1))
+        lists = [next(found) if len(w) > 1 else self.marker for w in words]
+        texts = self.sp.decode([self.anchor + x for x in lists]) if lists else []
+        size = np.array([len(x) for x in lists], np.int64)
+        return np.array([i for x in lists for i in x], np.int32), size, {k: t[1:] for k, (t, w) in enumerate(zip(texts, words)) if t[1:] != w}
 
-class _Table(dict):
-    """chunk -> number; ids, length and text by number. same: the text is the chunk's own, as for nearly all."""
 
-    def __init__(self, pieces: Pieces):
-        super().__init__()
-        self.pieces, self.ids, self.ends, self.text, self.same = pieces, [], [0], [], []
-
-    def __missing__(self, c: str) -> int:
-        at = self[c] = len(self)
-        ids, text = self.pieces.chunk(c)
-        self.ids += ids
-        self.ends.append(len(self.ids))
-        self.text.append(None if text == c else text)
-        self.same.append(text == c)
-        return at
+def _gather(start: np.ndarray, size: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of each row, one after another."""
+    stop = np.cumsum(size)
+    return values[np.repeat(start - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
 
 
-def _by_word(pieces: Pieces, table: _Table, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    numbers: list[int] = []
+def _words(texts: list[str]) -> tuple[list[str], list[int]]:
+    """All marked words of texts, and where each text's end."""
+    words: list[str] = []
     ends = [0]
     for t in texts:
         if t:
-            numbers += [table[c] for c in MARKED.findall(" " + t)]
-        ends.append(len(numbers))
-    at, bounds = np.array(numbers, np.int64), np.array(table.ends)
-    start, size = bounds[at], bounds[at + 1] - bounds[at]
-    stop = np.cumsum(size)
-    ids = np.array(table.ids, np.int32)[np.repeat(start - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
-    odd = ~np.array(table.same, bool)[at]
-    strange = np.concatenate(([0], np.cumsum(odd)))[ends]
-    decoded = []
-    for k, t in enumerate(texts):
-        if strange[k + 1] == strange[k]:
-            decoded.append(t)
-        else:
-            chunks = zip(MARKED.findall(" " + t), numbers[ends[k] : ends[k + 1]])
-            decoded.append("".join(c if (x := table.text[n]) is None else x for c, n in chunks)[1:])
-    return ids, np.concatenate(([0], stop))[ends], decoded
+            words += MARKED.findall(" " + t)
+        ends.append(len(words))
+    return words, ends
+
+
+def _dealt(words: dict[str, int], buckets: int) -> list[list[str]]:
+    """Distinct words by bucket, in the order in which they occur."""
+    out: list[list[str]] = [[] for _ in range(buckets)]
+    for w in words:
+        out[zlib.crc32(w.encode()) % buckets].append(w)
+    return out
+
+
+def _asked(text: str, buckets: int):
+    """bucket, block, blob: the distinct words of each block."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        for block, rows in numbered_runs(batches, text, BLOCK):
+            words = dict.fromkeys(w for t in rows.column(text).to_pylist() if t for w in MARKED.findall(" " + t))
+            full = [(k, x) for k, x in enumerate(_dealt(words, buckets)) if x]
+            if full:
+                blobs = [pack.compress(json.dumps(x, ensure_ascii=False).encode()) for _, x in full]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "blob"])
+                trim()
+
+    return run
+
+
+def _answer(size: np.ndarray, ids: np.ndarray, texts: dict[int, str]) -> bytes:
+    """How many ids each word has, the ids, and odd texts: in as few bytes a number as their greatest needs."""
+    kinds = [next(k for k in (1, 2, 4) if int(x.max(initial=0)) < 1 << 8 * k) for x in (size, ids)]
+    said = json.dumps(texts).encode()
+    return bytes(kinds) + len(said).to_bytes(8, "little") + said + size.astype(f"<u{kinds[0]}").tobytes() + ids.astype(f"<u{kinds[1]}").tobytes()
+
+
+def _read_answer(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+    at = 10 + int.from_bytes(raw[2:10], "little")
+    size = np.frombuffer(raw, f"<u{raw[0]}", n, at).astype(np.int64)
+    ids = np.frombuffer(raw, f"<u{raw[1]}", int(size.sum()), at + raw[0] * n).astype(np.int32)
+    return ids, size, {int(k): t for k, t in json.loads(raw[10:at]).items()}
+
+
+def _answered(shipped):
+    """block, bucket, n, blob: for each block the ids of the words it listed; each distinct word is segmented once."""
+
+    def run(key: tuple, asked: pa.Table) -> pa.Table:
+        trim()
+        pieces, pack, unpack = Pieces(shipped.value), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        number: dict[str, int] = {}
+        lists = []
+        for x in asked.column("blob"):
+            lists.append(np.array([number.setdefault(w, len(number)) for w in json.loads(unpack.decompress(x.as_buffer()))], np.int64))
+        ids, size, odd = pieces.table(list(number))
+        start = np.cumsum(size) - size
+        strange = np.zeros(len(size), bool)
+        strange[list(odd)] = True
+        blobs = []
+        for at in lists:
+            texts = {int(k): odd[int(at[k])] for k in np.flatnonzero(strange[at])}
+            blobs.append(pack.compress(_answer(size[at], _gather(start[at], size[at], ids), texts)))
+        n = [len(x) for x in lists]
+        return pa.table({"block": asked.column("block"), "bucket": pa.array([key[0].as_py()] * len(n), pa.int32()), "n": pa.array(n, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _joined(shipped, text: str, buckets: int, schema: pa.Schema):
+    """A block's documents with ids and decoded text, from the answers to the words it listed."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
+        if not len(left):
+            return schema.empty_table()
+        part, unpack, pieces = unpack_block(left.column("body")[0]), zstandard.ZstdDecompressor(), None
+        texts = [t or "" for t in part.column(text).to_pylist()]
+        words, ends = _words(texts)
+        answers = {b: (n, x) for b, n, x in zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column("blob"))}
+        number: dict[str, int] = {}
+        sizes, ids, odd = [np.empty(0, np.int64)], [np.empty(0, np.int32)], {}
+        for bucket, own in enumerate(_dealt(dict.fromkeys(words), buckets)):
+            if not own:
+                continue
+            n, blob = answers.get(bucket, (-1, None))
+            if n == len(own):
+                found = _read_answer(unpack.decompress(blob.as_buffer()), n)
+            else:
+                pieces = pieces or Pieces(shipped.value)
+                found = pieces.table(own)
+            odd |= {len(number) + k: t for k, t in found[2].items()}
+            number |= zip(own, range(len(number), len(number) + len(own)))
+            ids.append(found[0])
+            sizes.append(found[1])
+        ids, size = np.concatenate(ids), np.concatenate(sizes)
+        at = np.array([number[w] for w in words], np.int64)
+        out = _gather((np.cumsum(size) - size)[at], size[at], ids)
+        stop = np.concatenate(([0], np.cumsum(size[at])))[ends]
+        strange = np.zeros(len(size), bool)
+        strange[list(odd)] = True
+        strange = np.concatenate(([0], np.cumsum(strange[at])))[ends]
+        decoded = [
+            t if strange[k + 1] == strange[k] else "".join(odd.get(number[w], w) for w in words[ends[k] : ends[k + 1]])[1:]
+            for k, t in enumerate(texts)
+        ]
+        made = {"ids": pa.ListArray.from_arrays(pa.array(stop.astype(np.int32)), pa.array(out)), "decoded": pa.array(decoded, pa.string())}
+        return pa.table([made[f.name] if f.name in made else part.column(f.name).cast(f.type) for f in schema], schema=schema)
+
+    return run
 
 
 def _whole(pieces: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -94,19 +188,17 @@ def _whole(pieces: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarray, li
     return np.array([i for x in ids for i in x], np.int32), np.cumsum([0, *map(len, ids)]), [pieces.sp.decode(x) if x else "" for x in ids]
 
 
-def _encoded(shipped, names: list[str], text: str):
+def _texts_alone(shipped, names: list[str], text: str):
+    """Whole texts by the library, for models whose pieces cross words."""
+
     def run(batches):
         pieces = Pieces(shipped.value)
-        table = _Table(pieces)
         for b in batches:
             for i, j in runs(utf8(b.column(text))[1], BLOCK):
                 part = b.slice(i, j - i)
-                texts = [t or "" for t in part.column(text).to_pylist()]
-                ids, ends, decoded = _by_word(pieces, table, texts) if pieces.by_word else _whole(pieces, texts)
+                ids, ends, decoded = _whole(pieces, [t or "" for t in part.column(text).to_pylist()])
                 made = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], [*names, "ids", "decoded"])
-                if len(table) > TABLE:
-                    table = _Table(pieces)
 
     return run
 
@@ -117,10 +209,20 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     model: path of a SentencePiece model on the driver; its bytes (the vocabulary, of fixed size) go to every task.
     """
     with open(model, "rb") as f:
-        shipped = docs.sparkSession.sparkContext.broadcast(f.read())
-    names = [c for c in docs.columns if c not in ("ids", "decoded")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema.fields)
-    return docs.select(names).mapInArrow(_encoded(shipped, names, text), f"{schema}, ids array<int>, decoded string")
+        data = f.read()
+    shipped = docs.sparkSession.sparkContext.broadcast(data)
+    docs = docs.select([c for c in docs.columns if c not in ("ids", "decoded")])
+    names = docs.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    result = docs.sparkSession.createDataFrame([], f"{kinds}, ids array<int>, decoded string").schema
+    if not Pieces(data).by_word:
+        return docs.mapInArrow(_texts_alone(shipped, names, text), result)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = int(size // (12 << 20)) + 8
+    asked = docs.select(text).mapInArrow(_asked(text, buckets), "bucket int, block long, blob binary")
+    answers = staged(asked.groupBy("bucket").applyInArrow(_answered(shipped), "block long, bucket int, n long, blob binary"), "answers")
+    blocks = docs.mapInArrow(pack_blocks(names, text, BLOCK), "block long, body binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_joined(shipped, text, buckets, to_arrow_schema(result)), result)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

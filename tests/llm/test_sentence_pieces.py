@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from helpers import awkward, table
@@ -30,10 +31,23 @@ def test_same_as_library(spark, monkeypatch, by_word):
     assert sorted(r.decoded for r in back) == sorted(r.decoded for r in got)
 
 
-def test_small_table(spark, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK", 64)
-    pieces = S.Pieces(open(S.default_model(), "rb").read())
-    assert pieces.chunk(" ")[0] == pieces.marker
+def test_missing_answers(spark):
+    """Blocks whose answers are missing or of another length segment their words themselves."""
+    model = open(S.default_model(), "rb").read()
+    rows = pa.record_batch({"doc_id": [1, 2], "text": ["a b  c", None]})
+
+    class Shipped:
+        value = model
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_batch(rows)
+    left = pa.table({"block": [0], "body": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    none = pa.table({"block": pa.array([0], pa.int64()), "bucket": pa.array([0], pa.int32()), "n": pa.array([77]), "blob": pa.array([b"x"], pa.binary())})
+    for right in (none, none.slice(0, 0)):
+        got = S._joined(Shipped, "text", 3, schema)(left, right).to_pylist()
+        assert [r["ids"] for r in got] == [S.Pieces(model).sp.encode("a b  c"), []] and [r["decoded"] for r in got] == ["a b  c", ""]
 
 
 def test_query(spark):
