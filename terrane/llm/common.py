@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import time
@@ -74,6 +75,15 @@ def _drop_staged() -> None:
             return
 
 
+def trim() -> None:
+    """In a Python worker: give memory that has been freed back to the system, as workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -123,6 +133,7 @@ def pack_blocks(names: list[str], text: str, limit: int):
             with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
                 writer.write_table(part.combine_chunks())
             yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "body"])
+            trim()
 
     return run
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import U64, byte_codes, documents, mix, prefix_hash, release, runs, span_hash, staged, utf8
+from terrane.llm.common import U64, byte_codes, documents, mix, prefix_hash, release, runs, span_hash, staged, trim, utf8
 from terrane.llm.components import connected
 
 CODES = byte_codes(9, fold_case=True)
@@ -199,6 +199,7 @@ def _emit(width: int, percent: int, buckets: int):
                 names = np.array(sorted(k for k, found in sets.items() if found), np.int64)
                 if len(names):
                     yield from _packed(names, [sets[k] for k in names.tolist()], buckets)
+                    trim()
 
     return run
 
@@ -261,6 +262,7 @@ def _unpacked(blob: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _meet(key: tuple, table: pa.Table) -> pa.Table:
     """A bucket's pairs, and rows of its long signatures; those of a block pass."""
+    trim()
     names = ["a", "b", "sig", "need"]
     if key[0].as_py() < 0:
         return table.select(names)
@@ -311,6 +313,7 @@ def _similar(width: int, percent: int):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            trim()
 
     return run
 
@@ -371,6 +374,7 @@ def _tile(width: int, percent: int):
     """Links between components among two lists of texts: all intersections at once, as products of 0/1 matrices."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         if not len(left) or not len(right):
             return schema.empty_table()

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import documents, runs, utf8
+from terrane.llm.common import documents, runs, trim, utf8
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 BLOCK = 2 << 20
-CACHE = 300_000  # words kept by a task between blocks
+CACHE = 100_000  # words kept by a task between blocks
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -74,7 +74,7 @@ class Model:
         return np.zeros(len(self.languages))
 
 
-def train(labelled: DataFrame, per_language: int = 1500, max_languages: int = 256, max_items: int = 400_000) -> Model:
+def train(labelled: DataFrame, per_language: int = 1500, max_languages: int = 256, max_items: int = 100_000) -> Model:
     """Fit on labelled(doc_id, text, lang). At most per_language texts of a language, max_items words and n-grams in all."""
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     totals = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
@@ -139,6 +139,7 @@ def _identified(shipped, names: list[str], text: str):
                 score += np.where(some, sure, 0.0).tolist()
                 if len(cache) > CACHE:
                     cache = _Words(model)
+            trim()
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
     return run

@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm.common import U64, byte_codes, documents, mix, pack_blocks, prefix_hash, release, span_hash, staged, unpack_block, utf8
+from terrane.llm.common import U64, byte_codes, documents, mix, pack_blocks, prefix_hash, release, span_hash, staged, trim, unpack_block, utf8
 
 CODES = byte_codes(5)
 TRIGGER = 8
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 PIECE = 1 << 18
 RESULT = {"kept": "binary", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "spans": "array<struct<start:long,stop:long>>"}
 
@@ -94,6 +94,7 @@ def _packed(block: int, keys: np.ndarray, several: np.ndarray, buckets: int) ->
 
 def _met(table: pa.Table) -> pa.Table:
     """For each block those of its keys in this bucket that occur several times in the corpus."""
+    trim()
     blobs = [(memoryview(x.as_buffer()), n) for x, n in zip(table.column("blob"), table.column("n").to_pylist())]
     keys = np.concatenate([np.frombuffer(x, U64, n) for x, n in blobs])
     several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=8 * n), count=n).astype(bool) for x, n in blobs])
@@ -121,6 +122,7 @@ def _keys(text: str, width: int, buckets: int):
             for block, body in zip(batch.column("block").to_pylist(), batch.column("body")):
                 keys, n = np.unique(np.concatenate([np.empty(0, U64), *(x[2] for x in phrases(*_texts(unpack_block(body), text), width))]), return_counts=True)
                 yield _packed(block, keys, n > 1, buckets)
+                trim()
 
     return run
 
@@ -136,6 +138,7 @@ def _parsed(text: str, width: int):
     """The block's distinct phrases with a repeated key, how often they occur in it, and how many strings start in them."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         keys = _listed(right)
         found = [np.empty((3, 0), U64)]
         for _, _, key, phrase, first, last in phrases(*_texts(unpack_block(left.column("body")[0]), text), width) if len(left) and len(keys) else ():
@@ -171,6 +174,7 @@ def _suffixes(text: str, width: int, buckets: int):
     """The strings of the block's contested phrases, weighed; once for each phrase."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         out = []
         if len(left) and len(right):
             order = np.argsort(names := _column(right, "phrase"))
@@ -196,6 +200,7 @@ def _cut(text: str, width: int, schema: pa.Schema):
     """The block's documents without the bytes that repeats cover."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         if not len(left):
             return schema.empty_table()
         part = unpack_block(left.column("body")[0])
