@@ -127,7 +127,7 @@ def pack_blocks(names: list[str], text: str, limit: int):
     """block, body: consecutive documents as one compressed Arrow stream, for mapInArrow."""
 
     def run(batches):
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
         for seq, rows in numbered_runs(batches, text, limit):
             sink, part = pa.BufferOutputStream(), pa.table({c: rows.column(c) for c in names})
             with pa.ipc.new_stream(sink, part.schema, options=options) as writer:

@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from terrane.llm.common import documents, numbered_runs, pack_blocks, runs, staged, trim, unpack_block, utf8
 
 MARKED = re.compile("[ ▁]+[^ ▁]*")
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 
 
 class Pieces:
