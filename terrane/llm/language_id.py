@@ -1,8 +1,8 @@
 """Language identification by words first, then ever shorter character n-grams.
 
 Training counts words and character n-grams (orders 4 to 1, with word edges marked) of a bounded sample of labelled rows:
-at most ``per_language`` whole texts of each of the ``max_languages`` commonest labels, chosen by a hash of doc_id, so the
-model has a proven size bound and can be shipped to every task. A known word adds its smoothed log frequency in each
+at most ``per_language`` whole texts of each of the ``max_languages`` commonest labels, chosen by a hash of doc_id. All that
+the sample teaches is kept, as 64-bit keys and counts, so its size bounds the model that is shipped to every task. A known word adds its smoothed log frequency in each
 language; for a word that no language knows, the longest order at which any of its n-grams is known speaks instead.
 
 Edge cases: null text or text without a letter gives ``und`` with score 0; so does every text where nothing was learned;
@@ -20,66 +20,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import documents, runs, trim, utf8
+from terrane.llm.common import U64, documents, mix, prefix_hash, runs, span_hash, trim, utf8
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 BLOCK = 2 << 20
 CACHE = 100_000  # words kept by a task between blocks
+CHUNK = 2_000  # words looked up together
 
 
-def grams(word: str, order: int) -> list[str]:
-    marked = f" {word} " if order > 1 else word
-    return [marked[i : i + order] for i in range(len(marked) - order + 1)]
+def keys(words: list[str], kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the words (kind 0) or of their n-grams (kind n), and for each key the place of its word."""
+    codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    prefix = prefix_hash(np.arange(len(codes)), mix(codes.astype(U64) * U64(0x9E3779B97F4A7C15)))
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    count = np.ones_like(size) if kind == 0 else size if kind == 1 else np.maximum(size + 3 - kind, 0)
+    owner = np.repeat(np.arange(len(words)), count)
+    first = np.cumsum(size + 2) - size - 2 + (kind < 2)  # orders over 1 take in the word's edges
+    start = first[owner] + np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+    return span_hash(prefix, start, start + (kind or size[owner])), owner
 
 
-def _counted(batches):
-    """kind (0: words, n: n-grams of order n), lang, item, n: counts of the sample."""
-    for b in batches:
-        counts: dict[tuple[int, str], Counter] = {}
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            words = Counter(WORD.findall(text.lower()))
-            counts.setdefault((0, lang), Counter()).update(words)
-            for order in ORDERS:
-                into = counts.setdefault((order, lang), Counter())
-                for w, n in words.items():
-                    for g in grams(w, order):
-                        into[g] += n
-        rows = [(k, lang, item, n) for (k, lang), c in counts.items() for item, n in c.items()]
-        for at in range(0, len(rows), 50_000):
-            part = list(zip(*rows[at : at + 50_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, (pa.int32(), pa.string(), pa.string(), pa.int64()))], ["kind", "lang", "item", "n"])
+def _counted(column: dict[str, int]):
+    """kind (0: words, n: n-grams of order n), lang, key, n: counts of the sample."""
+
+    def run(batches):
+        for b in batches:
+            counts: dict[str, Counter] = {}
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+                counts.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+            for lang, c in counts.items():
+                words, times = list(c), np.fromiter(c.values(), np.int64, len(c))
+                for i in range(0, len(words), CHUNK):
+                    for kind in (0, *ORDERS):
+                        found, owner = keys(words[i : i + CHUNK], kind)
+                        items, at = np.unique(found, return_inverse=True)
+                        n = np.zeros(len(items), np.int64)
+                        np.add.at(n, at, times[i : i + CHUNK][owner])
+                        same = [np.full(len(items), kind, np.int8), np.full(len(items), column[lang], np.int16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, items.view(np.int64), n)], ["kind", "lang", "key", "n"])
+
+    return run
 
 
 class Model:
-    """Log frequencies of known items: languages, and for each kind a matrix (item x language)."""
-
-    def __init__(self, languages: list[str], counts: dict[int, dict[str, np.ndarray]]):
-        self.languages = languages
-        self.scores = []
-        for kind in (0, *ORDERS):
-            items = counts.get(kind, {})
-            table = np.array(list(items.values()), float).reshape(len(items), len(languages))
-            logs = np.log((table + 0.5) / (table.sum(0) + 0.5 * (len(items) + 1)))
-            self.scores.append((dict(zip(items, range(len(items)))), logs))
-
-    def word(self, w: str) -> np.ndarray:
-        at = self.scores[0][0].get(w)
-        if at is not None:
-            return self.scores[0][1][at]
-        for (known, logs), order in zip(self.scores[1:], ORDERS):
-            rows = [known[g] for g in grams(w, order) if g in known]
-            if rows:
-                return logs[rows].mean(0)
-        return np.zeros(len(self.languages))
-
-
-def train(labelled: DataFrame, per_language: int = 1500, max_languages: int = 256, max_items: int = 100_000) -> Model:
-    """Fit on labelled(doc_id, text, lang). At most per_language texts of a language, max_items words and n-grams in all."""
+    """Log frequencies of known items: for each kind the sorted keys, and of each key the languages that know it, with counts.
+
+    An entry (a key in a language) takes 10 bytes, a key 16 more; rows over all languages are made when they are asked for.
+    """
+
+    def __init__(self, languages: list[str], kind: np.ndarray, lang: np.ndarray, key: np.ndarray, n: np.ndarray):
+        self.languages, self.kinds = languages, []
+        order = np.lexsort((lang, key, kind))
+        ends = np.searchsorted(kind[order], np.arange(ORDERS[0] + 2))
+        for k in (0, *ORDERS):
+            rows = order[ends[k] : ends[k + 1]]
+            items, starts = np.unique(key[rows], return_index=True)
+            total = np.zeros(len(languages))
+            np.add.at(total, lang[rows], n[rows])
+            self.kinds.append((items, np.append(starts, len(rows)), lang[rows].astype(np.int16), n[rows], total + 0.5 * (len(items) + 1)))
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word, a column for each language."""
+        out = np.zeros((len(words), len(self.languages)))
+        left = np.arange(len(words))
+        for kind, (items, starts, lang, n, total) in zip((0, *ORDERS), self.kinds):
+            if not len(left) or not len(items):
+                continue
+            asked, owner = keys([words[i] for i in left.tolist()], kind)
+            at = np.searchsorted(items, asked).clip(0, len(items) - 1)
+            known = items[at] == asked
+            at, owner = at[known], left[owner[known]]
+            logs = np.full((len(at), len(self.languages)), 0.5)
+            size = starts[at + 1] - starts[at]
+            entry = np.repeat(starts[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            logs[np.repeat(np.arange(len(at)), size), lang[entry]] += n[entry]
+            np.add.at(out, owner, np.log(logs / total))
+            some = np.bincount(owner, minlength=len(words))
+            out[some > 0] /= some[some > 0, None]
+            left = left[some[left] == 0]
+        return out
+
+
+def train(labelled: DataFrame, per_language: int = 1500, max_languages: int = 256) -> Model:
+    """Fit on labelled(doc_id, text, lang): all that at most per_language texts of a language teach."""
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     totals = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not totals:
-        return Model([], {})
+        return Model([], *(np.empty(0, t) for t in (np.int8, np.int16, U64, np.int64)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))
     share = F.lit(0)
     for r in totals:  # a little more than asked for, then cut exactly
@@ -88,16 +116,11 @@ def train(labelled: DataFrame, per_language: int = 1500, max_languages: int = 25
     best = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
     sample = drawn.withColumn("place", F.row_number().over(best)).where(F.col("place") <= per_language)
     sample = sample.select("lang", "text").repartition(16)
-    counts = sample.mapInArrow(_counted, "kind int, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
-    most = max(200, max_items // (len(totals) * 8))
-    top = Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "item")
-    kept = counts.withColumn("place", F.row_number().over(top)).where(F.col("place") <= F.when(F.col("kind") == 0, 4 * most).otherwise(most))
     languages = sorted(r["lang"] for r in totals)
-    column = {x: i for i, x in enumerate(languages)}
-    tables: dict[int, dict[str, np.ndarray]] = {}
-    for r in sorted(kept.select("kind", "item", "lang", "n").collect()):
-        tables.setdefault(r["kind"], {}).setdefault(r["item"], np.zeros(len(languages)))[column[r["lang"]]] = r["n"]
-    return Model(languages, tables)
+    counts = sample.mapInArrow(_counted({x: i for i, x in enumerate(languages)}), "kind byte, lang short, key long, n long")
+    counts = counts.groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")).toArrow()  # 19 bytes an entry; the sample bounds them
+    kind, lang, key, n = (counts.column(c).to_numpy() for c in ("kind", "lang", "key", "n"))
+    return Model(languages, kind, lang, key.view(U64), n)
 
 
 class _Words(dict):
@@ -107,12 +130,14 @@ class _Words(dict):
         super().__init__()
         self.model, self.rows = model, np.empty((1024, len(model.languages)))
 
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
-        self.rows[at] = self.model.word(word)
-        return at
+    def learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), CHUNK):
+            part = words[i : i + CHUNK]
+            first, last = len(self), len(self) + len(part)
+            if last > len(self.rows):
+                self.rows = np.concatenate((self.rows, np.empty((max(len(self.rows), len(part)), self.rows.shape[1]))))
+            self.rows[first:last] = self.model.words(part)
+            self.update(zip(part, range(first, last)))
 
 
 def _identified(shipped, names: list[str], text: str):
@@ -124,9 +149,10 @@ def _identified(shipped, names: list[str], text: str):
             for i, j in runs(utf8(b.column(text))[1], BLOCK):
                 ids: list[int] = []
                 ends = []
-                for t in b.column(text).slice(i, j - i).to_pylist():
-                    if t and model.languages:
-                        ids += [cache[w] for w in WORD.findall(t.lower())]
+                found = [WORD.findall(t.lower()) if t and model.languages else [] for t in b.column(text).slice(i, j - i).to_pylist()]
+                cache.learn(list({w: 0 for words in found for w in words if w not in cache}))
+                for words in found:
+                    ids += [cache[w] for w in words]
                     ends.append(len(ids))
                 starts = np.array([0, *ends[:-1]])
                 some = np.array(ends) > starts
@@ -149,7 +175,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score: the posterior of the predicted language under equal priors, 0 to 1."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema.fields)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_items
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     return docs.select(names).mapInArrow(_identified(shipped, names, text), f"{schema}, lang_pred string, score double")
 
 

@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import pytest
 from helpers import awkward, table
 from pyspark.sql import functions as F
@@ -39,3 +42,39 @@ def test_awkward_rows(spark):
 @pytest.mark.parametrize("bound", [1, 3])
 def test_bound(spark, bound):
     assert train(table(spark, awkward()), per_language=bound).languages == ["de", "en"]
+
+
+def brute(rows, text):
+    """Scores by language of a text, by the definition: all words and n-grams of the labelled rows count."""
+
+    def grams(w, n):
+        return [w] if n == 0 else list(w) if n == 1 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+
+    known = {k: {} for k in (0, 4, 3, 2, 1)}
+    for _, t, lang, *_ in rows:
+        for k, of in known.items():
+            of.setdefault(lang, Counter()).update(g for w in WORD.findall(t.lower()) for g in grams(w, k))
+    logs = {k: (set().union(*of.values()), {x: sum(c.values()) for x, c in of.items()}) for k, of in known.items()}
+    out = dict.fromkeys(sorted(known[0]), 0.0)
+    for w in WORD.findall(text.lower()):
+        for k, of in known.items():
+            if found := [g for g in grams(w, k) if g in logs[k][0]]:
+                for x in out:
+                    out[x] += sum(math.log((of[x][g] + 0.5) / (logs[k][1][x] + 0.5 * (len(logs[k][0]) + 1))) for g in found) / len(found)
+                break
+    return out
+
+
+def test_all_that_the_sample_teaches_counts(spark):
+    """30,000 words of one language, each once: the last in order is as well known as the first."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in "aei"][:30_000]
+    rows = [(i, " ".join(words[i::20]), "xx", "", 0, "", 0) for i in range(20)]
+    rows += [(100 + i, t, "yy", "", 0, "", 0) for i, t in enumerate(["zzzi le chat", "é😀 été chat le le", "zz z"])]
+    asked = ["rzca", "zyza zyzb", "chat zzzi", "zzzzz", "qxqx ö", "été", "z", "aaaa le"]
+    got = identify(table(spark, [(i, t, None, "", 0, "", 0) for i, t in enumerate(asked)]), train(table(spark, rows))).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        want = brute(rows, r.text)
+        best = max(want, key=want.get)
+        assert r.lang_pred == best and r.score == pytest.approx(1 / sum(math.exp(v - want[best]) for v in want.values()))
