@@ -35,6 +35,7 @@ SYMBOLS = "abcdefghijklmno"  # what the walk writes; "-" beyond its end
 LONG = 1 << 17  # characters beyond which a text is walked alone, with tables for a window of steps at a time
 ROWS = 2_000  # documents of a range, as long as there are no more than PARTS ranges
 PARTS = 50_000
+TILE = 500  # members of a band compared with as many others at a time
 _SHARED: dict = {"steps": 0}
 
 
@@ -157,15 +158,17 @@ def likeness(x: str, y: str) -> float:
     return max(0.0, (share - 1 / len(SYMBOLS)) / (1 - 1 / len(SYMBOLS)))
 
 
-def bands(x: str, count: int = 32, bits: int = 8) -> list[int]:
-    """Keys of banded samples: each band takes ``bits`` samples, spread over the fingerprint's octaves by weight."""
+def bands(x: str, count: int = 32, bits: int = 8, more: int = 0) -> list[int]:
+    """Keys of banded samples: each band takes ``bits`` samples, spread over the fingerprint's octaves by weight; with ``more``
+    as if the text had so many more octaves."""
     if not x:
         return [0]
     a = np.frombuffer(x.encode(), np.uint8).astype(U64)
     # Positions depend on the number of octaves only, so that texts of like length sample the same steps.
     octaves, _ = _weights(len(x))
-    full = max(1, 1 + sum(min(1 << b, SAMPLES) for b in range(int(octaves[-1]))))
+    full = max(1, 1 + sum(min(1 << b, SAMPLES) for b in range(int(octaves[-1]) + more)))
     _, weight = _weights(full)
+    a = np.append(a, np.full(max(0, full - len(a)), ord("-"), U64))
     share = np.cumsum(weight) / weight.sum()
     draws = (mix(np.arange(count * bits, dtype=U64) + U64(0x5151)) >> U64(11)).astype(float) / (1 << 53)
     picked = a[np.searchsorted(share, draws, "right").clip(0, full - 1)].reshape(count, bits)
@@ -173,6 +176,11 @@ def bands(x: str, count: int = 32, bits: int = 8) -> list[int]:
     return mix(keys + mix(np.arange(count, dtype=U64) + U64(full << 20))).view(np.int64).tolist()
 
 
+def all_bands(x: str) -> list[int]:
+    """Keys at the text's own number of octaves and at the next, which walks that end beyond a power of two have as their own."""
+    return sorted({*bands(x), *bands(x, more=1)})
+
+
 def edited(text: str, following: str) -> str:
     """The last quarter of the code points replaced by as many (or all) of the next text's first."""
     k = len(text) // 4
@@ -246,11 +254,36 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(names).mapInArrow(run, f"{schema}, fingerprint string")
 
 
+def _compared(least: float):
+    """Links a, b of a tile of a band: nodes of different components whose likeness is ``least`` or over."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        i, j, tile, node, component = (rows.column(c).to_numpy() for c in ("i", "j", "tile", "node", "component"))
+        texts = rows.column("fingerprint").to_pylist()
+        size = np.array([len(t) for t in texts])
+        width = int(size.max())
+        grid = np.frombuffer("".join(t.ljust(width, "-") for t in texts).encode(), np.uint8).reshape(len(texts), width)
+        weight = _weights(max(1, width))[1][:width]
+        upto = np.append(0.0, np.cumsum(weight))
+        lower, upper = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+        links = []
+        for x in lower.tolist():
+            y = upper[(component[upper] != component[x]) & ((i[0] < j[0]) | (upper > x))]
+            n = np.maximum(size[x], size[y])
+            share = ((grid[y] == grid[x]) @ weight - (upto[-1] - upto[n])) / np.maximum(upto[n], 1)
+            likely = share >= least * (1 - 1 / len(SYMBOLS)) + 1 / len(SYMBOLS) - 1e-9
+            links += [(node[x], node[z]) for z in y[likely].tolist() if likeness(texts[x], texts[z]) >= least]
+        return pa.table({c: pa.array([link[k] for link in links], pa.int64()) for k, c in enumerate("ab")})
+
+    return run
+
+
 def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """fingerprint, class_id: distinct fingerprints that share a band with a class's least fingerprint and are alike.
+    """fingerprint, class_id: components of the distinct fingerprints that share a band and are alike.
 
-    Bands are grouped by their least member, so a band of any size gives one pair a member, never all pairs; a bounded few
-    rounds of connected components join the verified pairs. Fingerprints without a like one are their own class.
+    First each band's members are compared with its least, a pair a member. Bands whose members are in different components
+    after that are compared in full, in tiles of TILE members by TILE: time by the square of such a band, but only links are
+    written. Fingerprints without a like one are their own class.
     """
     from terrane.llm.components import connected
 
@@ -258,7 +291,7 @@ def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def banded(x):
-        return x.map(bands)
+        return x.map(all_bands)
 
     @F.pandas_udf("double")
     def alike(x, y):
@@ -268,8 +301,15 @@ def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     least_of = members.groupBy("band").agg(F.min_by(F.struct("node", "fingerprint"), "node").alias("pivot"))
     pairs = members.join(least_of, "band").where(F.col("node") != F.col("pivot.node"))
     pairs = pairs.select("node", "fingerprint", F.col("pivot.node").alias("b"), F.col("pivot.fingerprint").alias("other")).distinct()
-    links = pairs.where(alike("fingerprint", "other") >= least).select(F.col("node").alias("a"), "b")
-    found = prints.join(connected(links), "node", "left")
+    links = staged(pairs.where(alike("fingerprint", "other") >= least).select(F.col("node").alias("a"), "b"), "links")
+    placed = members.join(connected(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    tiles = placed.join(mixed.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "band")
+    tiles = tiles.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(1)), "tiles").cast("int"))
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiles = tiles.select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "component", "fingerprint")
+    rest = tiles.groupBy("band", "i", "j").applyInArrow(_compared(least), "a long, b long")
+    found = prints.join(connected(staged(links.union(rest), "links")), "node", "left")
     return found.select("fingerprint", F.coalesce("component", "node").alias("class_id"))
 
 

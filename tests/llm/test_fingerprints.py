@@ -94,3 +94,59 @@ def test_near_documents(spark):
         classes.setdefault(r.class_id, set()).add(r.doc_id)
     assert sorted(map(sorted, classes.values())) == [[10 * i + k for k in range(4)] for i in range(12)]
     assert P.near_documents(table(spark, [])).collect() == [] and P.fingerprint(docs.withColumn("fingerprint", F.lit(1))).columns[-1] == "fingerprint"
+
+
+def brute_classes(prints, least=0.8):
+    """Classes by comparing all pairs."""
+    up = {x: x for x in prints}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, x in enumerate(prints):
+        for y in prints[:i]:
+            if P.likeness(x, y) >= least:
+                up[root(x)] = root(y)
+    return {x: root(x) for x in prints}
+
+
+def found_classes(spark, prints, monkeypatch):
+    monkeypatch.setattr(P, "fingerprint", lambda docs, text="text": docs.withColumnRenamed("text", "fingerprint"))
+    docs = spark.createDataFrame([(x,) for x in prints], "text string")
+    return {r.fingerprint: r.class_id for r in P.near_documents(docs).collect()}
+
+
+def agree(found, want):
+    pairs = {(found[x], want[x]) for x in want}
+    return set(found) == set(want) and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_alike_members_whose_pivot_is_unlike_them(spark, monkeypatch):
+    """Three groups share one band only; whichever holds the least node, the others are linked too."""
+    rng = random.Random(11)
+    line = lambda n: "".join(rng.choice(P.SYMBOLS) for _ in range(n))
+    prints = []
+    for _ in range(6):
+        base = line(300)
+        for _ in range(3):
+            prints.append("".join(rng.choice(P.SYMBOLS) if rng.random() < 0.03 else c for c in base))
+    monkeypatch.setattr(P, "all_bands", lambda x: [1], raising=False)
+    monkeypatch.setattr(P, "bands", lambda x, *_, **__: [1])
+    for tile in (500, 4):
+        monkeypatch.setattr(P, "TILE", tile, raising=False)
+        want = brute_classes(prints)
+        assert len(set(want.values())) == 6 and agree(found_classes(spark, prints, monkeypatch), want)
+
+
+def test_walks_that_end_on_both_sides_of_a_power_of_two(spark, monkeypatch):
+    """Recall against brute force: near copies with some text added at the end."""
+    rng = random.Random(12)
+    texts = [prose(rng, 330)[:2030] for _ in range(20)]
+    texts += [t + prose(rng, 6) for t in texts]
+    prints = P.fingerprints(texts)
+    octaves = [int(P._weights(len(x))[0][-1]) for x in prints]
+    near = [(x, y) for k, (x, y) in enumerate(zip(prints, prints[20:])) if octaves[k] != octaves[k + 20] and P.likeness(x, y) >= 0.8]
+    assert near and not any(set(P.bands(x)) & set(P.bands(y)) for x, y in near)
+    assert agree(found_classes(spark, prints, monkeypatch), brute_classes(prints))
