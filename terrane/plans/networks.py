@@ -245,8 +245,8 @@ add(
     lambda s, d: explain.split_candidates(_six(s, d), quality.centres(_six(s, d))).groupBy("f").agg(F.min("mistakes").alias("mistakes"), F.count("*").alias("candidates")),
     f"with {SPLIT} select cast(f as integer) as f, cast(min(mistakes) as bigint) as mistakes, count(*) as candidates from cand join lim using (f) where theta >= lo and theta < hi group by 1",
 )
-add("imm_tree", lambda s, d: explain.tree_table(s, explain.threshold_tree(_six(s, d))))
-add("forest_scores", lambda s, d: explain.forest_scores(_six(s, d), folds=3, trees=10))
+add("imm_tree", lambda s, d: explain.tree_table(s, explain.threshold_tree(written(points(s, d)))))
+add("forest_scores", lambda s, d: explain.forest_scores(points(s, d), folds=3, trees=10))
 
 
 def _boxes(s, d):
