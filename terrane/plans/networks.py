@@ -223,7 +223,7 @@ add("kefrin_labels", lambda s, d: clustering.kefrin(points(s, d), written(graph(
 add("warm_labels", lambda s, d: clustering.warm_kmeans(points(s, d), labels(s, d), 4))
 add("community_labels", lambda s, d: clustering.communities(written(graph(s, d)), points(s, d), steps=6))
 add("ward_labels", lambda s, d: clustering.ward(points(s, d), 6))
-add("gmm_labels", lambda s, d: clustering.mixture(points(s, d).withColumn("vec", F.slice("vec", 1, 6)), 4))
+add("gmm_labels", lambda s, d: clustering.mixture(points(s, d), 4))
 add("spectral_labels", lambda s, d: clustering.spectral(graph(s, d), graph(s, d, 10), 4))
 add("permutation_baseline", lambda s, d: quality.permutation_baseline(graph(s, d), labels(s, d), 20))
 add("bootstrap_ari", lambda s, d: quality.bootstrap_ari(points(s, d), labels(s, d), lambda p: clustering.lloyd(p, _start(s, d), 2).select("id", "label"), 3))

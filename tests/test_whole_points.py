@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from terrane import queries
-from terrane.operators import explain
+from terrane.operators import clustering, explain
 
 SF = "/root/testdata/sf0.01"
 
@@ -38,3 +38,11 @@ def test_forest_sees_all_points(spark, whole, monkeypatch):
     assert 0 <= r.accuracy <= 1
     got = sorted((tuple(p.vec), p.label) for p in seen[0].collect())
     assert got == sorted((tuple(v), k) for v, k in zip(whole[0].tolist(), whole[1].tolist()))
+
+
+def test_mixture_sees_all_dimensions(spark, whole, monkeypatch):
+    seen, real = [], clustering.mixture
+    monkeypatch.setattr(clustering, "mixture", lambda p, *a: (seen.append(p), real(p, *a))[1])
+    got = queries.QUERIES["gmm_labels"](spark, SF).collect()
+    assert len(got) == len(whole[0]) and len({r.label for r in got}) > 1
+    assert sorted(tuple(p.vec) for p in seen[0].collect()) == sorted(map(tuple, whole[0].tolist()))
