@@ -1,7 +1,7 @@
 """From raw documents to token ids, in five stages. Each stage is written as Parquet before the next one reads it.
 
-Every stage but the last returns the columns of ``documents`` (doc_id, text, lang, source, n_chars). A doc_id names one
-document from the second stage on: of rows that share one, one stays.
+Every stage but the last returns the columns of ``documents`` (doc_id, text, lang, source, n_chars). Rows are documents of
+their own, whether or not their doc_id is null or repeated.
 """
 
 from __future__ import annotations
@@ -23,15 +23,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document with the least doc_id stays."""
-    found = jaccard_join.jaccard_components(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    kept = docs.join(stay, docs.doc_id.eqNullSafe(stay.stays), "left_semi")
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row, a key of each row: doc_id where no two rows share one, else a hash of the row and its number among equals."""
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept.select(COLUMNS)
-    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
-    return kept.withColumn("k", F.row_number().over(first)).where("k = 1").select(COLUMNS)
+        return docs.withColumn("row", F.col("doc_id"))
+    same = Window.partitionBy("hash").orderBy("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.withColumn("hash", F.xxhash64("doc_id", "text", "lang", "source"))
+    return staged(docs.withColumn("row", F.xxhash64("hash", F.row_number().over(same))).drop("hash"), "keyed")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.8) the document with the least doc_id stays, null as the last."""
+    docs = keyed(docs.select(COLUMNS))
+    found = jaccard_join.jaccard_components(docs.withColumn("doc_id", F.col("row")))
+    found = staged(found.select(F.col("doc_id").alias("row"), "component_id"), "near")
+    own = docs.select("row", "doc_id").join(found.withColumnRenamed("row", "found"), F.col("row").eqNullSafe(F.col("found")))
+    first = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("stays"))
+    return docs.join(first.select("stays"), F.col("row").eqNullSafe(F.col("stays")), "left_semi").select(COLUMNS)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +55,10 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: 0 to 3 times."""
-    mix = mixing.mix_sources(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
+    docs = keyed(docs.select(COLUMNS))
+    mix = mixing.mix_sources(docs.select(F.col("row").alias("doc_id"), "source", mixing.n_words(F.col("text")).alias("size")))
     mix = mix.where("copies > 0").select(F.col("doc_id").alias("taken"), "copies")
-    taken = docs.join(mix, docs.doc_id.eqNullSafe(mix.taken))
+    taken = docs.join(mix, docs.row.eqNullSafe(mix.taken))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 
 

@@ -64,3 +64,22 @@ def test_empty(spark):
         docs = stage(spark, docs, "")
         assert docs.collect() == []
         docs = table(spark, []).select(P.COLUMNS)
+
+
+def test_null_and_repeated_ids(spark):
+    """Documents of one id, or of none, are told apart: only near copies go, and no copy is multiplied by the join."""
+    rows = [r for r in awkward(9) if WORD.search(r[1] or "")]
+    some = [(None if i % 3 == 0 else 5 if i % 3 == 1 else 1000 + i, *r[1:5]) for i, r in enumerate(rows)]
+    docs = table(spark, [(*r, None, None) for r in some]).select(P.COLUMNS)
+    numbers = {i: c for i, _, c in near_brute([(i, *r[1:]) for i, r in enumerate(some)])}
+    groups = {}
+    for i, c in numbers.items():
+        groups.setdefault(c, []).append(some[i])
+    two = [tuple(r) for r in P.near_duplicate_stage(spark, docs, "").collect()]
+    assert len(two) == len(groups)
+    for r in two:
+        (group,) = [g for g in groups.values() if r in g]
+        assert r[0] == min((x[0] for x in group if x[0] is not None), default=None)
+
+    mixed = [tuple(r) for r in P.mixing_stage(spark, docs, "").collect()]
+    assert mixed and all(mixed.count(r) <= 3 * some.count(r) for r in set(mixed)) and set(mixed) <= set(some)
