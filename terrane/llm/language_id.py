@@ -1,9 +1,12 @@
 """Language identification by words first, then ever shorter character n-grams.
 
 Training counts words and character n-grams (orders 4 to 1, with word edges marked) of a bounded sample of labelled rows:
-at most ``per_language`` whole texts of each of the ``max_languages`` commonest labels, chosen by a hash of doc_id. All that
-the sample teaches is kept, as 64-bit keys and counts, so its size bounds the model that is shipped to every task. A known word adds its smoothed log frequency in each
-language; for a word that no language knows, the longest order at which any of its n-grams is known speaks instead.
+at most ``per_language`` whole texts of each label, chosen by a hash of doc_id. All that the sample teaches is kept, for
+every label there is, as 64-bit keys and counts: a sparse table that the sample's size bounds is shipped to every task. A
+known word adds its smoothed log frequency in each language; for a word that no language knows, the longest order at which
+any of its n-grams is known speaks instead.
+
+A word is a run of letters (Unicode's categories L; digits, fractions and other numerals part words).
 
 Edge cases: null text or text without a letter gives ``und`` with score 0; so does every text where nothing was learned;
 very long texts are read whole; ties go to the first language in code-point order; columns lang_pred and score of the
@@ -13,7 +16,9 @@ input are replaced, other columns pass; repeated rows get equal results.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +27,19 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import U64, documents, mix, prefix_hash, runs, span_hash, trim, utf8
 
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _numerals() -> str:
+    """Ranges of the characters that are alphanumeric but neither letters nor decimal digits, as a regular expression's class."""
+    odd = [i for i in range(sys.maxunicode + 1) if (c := chr(i)).isalnum() and not c.isalpha() and not c.isdecimal()]
+    runs_of = ([i for _, i in g] for _, g in groupby(enumerate(odd), lambda x: x[1] - x[0]))
+    return "".join(f"{chr(g[0])}-{chr(g[-1])}" for g in runs_of)
+
+
+WORD = re.compile(rf"[^\W\d_{_numerals()}]+")
 ORDERS = (4, 3, 2, 1)
 BLOCK = 2 << 20
-CACHE = 100_000  # words kept by a task between blocks
+SCORES = 8 << 20  # scores of words (a word in a language) that a task keeps or adds at once
 CHUNK = 2_000  # words looked up together
 
 
@@ -57,7 +71,7 @@ def _counted(column: dict[str, int]):
                         items, at = np.unique(found, return_inverse=True)
                         n = np.zeros(len(items), np.int64)
                         np.add.at(n, at, times[i : i + CHUNK][owner])
-                        same = [np.full(len(items), kind, np.int8), np.full(len(items), column[lang], np.int16)]
+                        same = [np.full(len(items), kind, np.int8), np.full(len(items), column[lang], np.int32)]
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, items.view(np.int64), n)], ["kind", "lang", "key", "n"])
 
     return run
@@ -78,7 +92,7 @@ class Model:
             items, starts = np.unique(key[rows], return_index=True)
             total = np.zeros(len(languages))
             np.add.at(total, lang[rows], n[rows])
-            self.kinds.append((items, np.append(starts, len(rows)), lang[rows].astype(np.int16), n[rows], total + 0.5 * (len(items) + 1)))
+            self.kinds.append((items, np.append(starts, len(rows)), lang[rows].astype(np.int16 if len(languages) < 1 << 15 else np.int32), n[rows], total + 0.5 * (len(items) + 1)))
 
     def words(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word, a column for each language."""
@@ -102,42 +116,69 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, per_language: int = 1500, max_languages: int = 256) -> Model:
-    """Fit on labelled(doc_id, text, lang): all that at most per_language texts of a language teach."""
+def train(labelled: DataFrame, per_language: int = 1500) -> Model:
+    """Fit on labelled(doc_id, text, lang): all that at most per_language texts of a language teach.
+
+    The driver holds a row for each label and the sample's counts.
+    """
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    totals = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not totals:
-        return Model([], *(np.empty(0, t) for t in (np.int8, np.int16, U64, np.int64)))
+        return Model([], *(np.empty(0, t) for t in (np.int8, np.int32, U64, np.int64)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))
-    share = F.lit(0)
-    for r in totals:  # a little more than asked for, then cut exactly
-        share = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, 1.2 * per_language / r["count"]) * (1 << 30)))).otherwise(share)
-    drawn = labelled.withColumn("draw", draw).where(F.col("draw") < share)
+    # A little more than asked for, then cut exactly.
+    share = F.create_map(*(F.lit(x) for lang, n in totals.items() for x in (lang, int(min(1.0, 1.2 * per_language / n) * (1 << 30)))))
+    drawn = labelled.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
     best = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
     sample = drawn.withColumn("place", F.row_number().over(best)).where(F.col("place") <= per_language)
     sample = sample.select("lang", "text").repartition(16)
-    languages = sorted(r["lang"] for r in totals)
-    counts = sample.mapInArrow(_counted({x: i for i, x in enumerate(languages)}), "kind byte, lang short, key long, n long")
-    counts = counts.groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")).toArrow()  # 19 bytes an entry; the sample bounds them
+    languages = sorted(totals)
+    counts = sample.mapInArrow(_counted({x: i for i, x in enumerate(languages)}), "kind byte, lang int, key long, n long")
+    counts = counts.groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")).toArrow()  # 21 bytes an entry; the sample bounds them
     kind, lang, key, n = (counts.column(c).to_numpy() for c in ("kind", "lang", "key", "n"))
     return Model(languages, kind, lang, key.view(U64), n)
 
 
 class _Words(dict):
-    """word -> row of a growing matrix of scores."""
+    """word -> row of a growing matrix of scores, forgotten when it has SCORES of them."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.rows = model, np.empty((1024, len(model.languages)))
 
-    def learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), CHUNK):
-            part = words[i : i + CHUNK]
+    def of(self, words: list[str]) -> np.ndarray:
+        """The rows of the words, a group of at most SCORES of them; unknown ones are learned."""
+        new = [w for w in words if w not in self]
+        if (len(self) + len(new)) * self.rows.shape[1] > SCORES:
+            self.clear()
+            new = words
+        for i in range(0, len(new), CHUNK):
+            part = new[i : i + CHUNK]
             first, last = len(self), len(self) + len(part)
             if last > len(self.rows):
                 self.rows = np.concatenate((self.rows, np.empty((max(len(self.rows), len(part)), self.rows.shape[1]))))
             self.rows[first:last] = self.model.words(part)
             self.update(zip(part, range(first, last)))
+        return self.rows[[self[w] for w in words]]
+
+
+def _summed(cache: _Words, counts: list[Counter], sums: np.ndarray) -> None:
+    """Adds to each text's row of sums its words' scores, as often as they occur; distinct words are looked up once."""
+    number: dict[str, int] = {}
+    word = np.array([number.setdefault(w, len(number)) for c in counts for w in c], np.int64)
+    if not len(word):
+        return
+    times = np.array([n for c in counts for n in c.values()], np.float64)
+    text = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+    most, names = max(1, SCORES // sums.shape[1]), list(number)
+    order = np.argsort(word // most, kind="stable")  # groups of words; texts stay in order inside them
+    ends = np.searchsorted(word[order] // most, np.arange(-(-len(names) // most) + 1))
+    for g in range(len(ends) - 1):
+        rows = cache.of(names[g * most : (g + 1) * most])
+        for i in range(ends[g], ends[g + 1], most):
+            part = order[i : min(i + most, ends[g + 1])]
+            starts = np.flatnonzero(np.concatenate(([True], text[part][1:] != text[part][:-1])))
+            sums[text[part][starts]] += np.add.reduceat(rows[word[part] - g * most] * times[part, None], starts, axis=0)
 
 
 def _identified(shipped, names: list[str], text: str):
@@ -147,24 +188,14 @@ def _identified(shipped, names: list[str], text: str):
         for b in batches:
             pred, score = [], []
             for i, j in runs(utf8(b.column(text))[1], BLOCK):
-                ids: list[int] = []
-                ends = []
-                found = [WORD.findall(t.lower()) if t and model.languages else [] for t in b.column(text).slice(i, j - i).to_pylist()]
-                cache.learn(list({w: 0 for words in found for w in words if w not in cache}))
-                for words in found:
-                    ids += [cache[w] for w in words]
-                    ends.append(len(ids))
-                starts = np.array([0, *ends[:-1]])
-                some = np.array(ends) > starts
-                sums = np.zeros((j - i, len(model.languages)))
-                if ids:
-                    sums[some] = np.add.reduceat(cache.rows[np.array(ids)], starts[some], axis=0)
-                best = sums.argmax(1) if model.languages else np.zeros(j - i, int)
-                sure = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1) if model.languages else np.zeros(j - i)
-                pred += names_of[np.where(some, best, len(model.languages))].tolist()
+                counts = [Counter(WORD.findall(t.lower()) if t and model.languages else ()) for t in b.column(text).slice(i, j - i).to_pylist()]
+                some = np.array([len(c) > 0 for c in counts])
+                sums = np.zeros((j - i, max(1, len(model.languages))))
+                _summed(cache, counts, sums)
+                best = np.where(some, sums.argmax(1), len(model.languages))
+                sure = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
+                pred += names_of[best].tolist()
                 score += np.where(some, sure, 0.0).tolist()
-                if len(cache) > CACHE:
-                    cache = _Words(model)
             trim()
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 

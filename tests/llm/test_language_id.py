@@ -17,7 +17,7 @@ def test_held_out_accuracy(spark):
     judged = [r for r in got if r.held_out and r.lang and r.lang_pred != "und"]
     assert judged and sum(r.lang == r.lang_pred for r in judged) / len(judged) > 0.97
     for r in got:
-        assert 0 <= r.score <= 1 and (r.lang_pred == "und") == (not WORD.search(r.text or ""))
+        assert 0 <= r.score <= 1 and (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
 
 
 def test_labels_decide(spark):
@@ -44,6 +44,29 @@ def test_bound(spark, bound):
     assert train(table(spark, awkward()), per_language=bound).languages == ["de", "en"]
 
 
+def test_letters(spark):
+    """Numerals of other kinds are no letters, whatever alphanumeric means; they part words."""
+    asked = ["²", "½ ① Ⅷ", "x²y", "abc", "٣", "ª", "一", "é", "_", "a_b"]
+    assert [WORD.findall(t) for t in asked] == [[], [], ["x", "y"], ["abc"], [], ["ª"], ["一"], ["é"], [], ["a", "b"]]
+    docs = table(spark, [(i, "x y abc", "xx", "", 0, "", 0) for i in range(3)])
+    got = identify(table(spark, [(i, t, None, "", 0, "", 0) for i, t in enumerate(asked)]), train(docs)).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in got} == {i: not any(c.isalpha() for c in t) for i, t in enumerate(asked)}
+
+
+def test_many_languages_and_ties(spark, monkeypatch):
+    """Each of 300 labels can be predicted; equal evidence goes to the first label; clashing columns are replaced."""
+    rows = [(i, f"common {''.join(chr(97 + int(d)) for d in str(1000 + i))}", f"l{i:03}", "", 0, "", 0) for i in range(300)]
+    docs = table(spark, rows)
+    model = train(docs)
+    assert len(model.languages) == 300
+    for scores in (8 << 20, 900):
+        monkeypatch.setattr("terrane.llm.language_id.SCORES", scores)
+        got = identify(docs.withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("x")), model)
+        assert got.columns == [*docs.columns, "lang_pred", "score"] and got.where("lang <> lang_pred").isEmpty()
+    (tie,) = identify(table(spark, [(1, "common", None, "", 0, "", 0)]), model).collect()
+    assert tie.lang_pred == "l000" and tie.score == pytest.approx(1 / 300)
+
+
 def brute(rows, text):
     """Scores by language of a text, by the definition: all words and n-grams of the labelled rows count."""
 
