@@ -1,18 +1,19 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each source's target in words fixes an expected number of copies r of its documents: every document gets floor(r) copies
-and keeps the fraction as a probability. Pairs then pass probability between them, at random and without bias, so that their
-expected words together stay the same, until one of the two is sure to be taken or left. In a group of a source all have one
-probability and the partner of a document is the pool of all smaller ones, so that large documents are decided first. A
-group leaves one undecided document at most, groups' leftovers meet pair by pair in the next level of a tree, and the root's
-last one is drawn. So each source's taken words differ from its target by less than one document, as a rule a small one.
+and keeps the fraction as a probability. Then two documents meet: words of expectation pass from one to the other, at random
+and without bias, until one of the two is sure to be taken or left; the other, still open, meets the next. Documents meet
+in order of size, the largest first, so that of two alike in size either may stay open and what is open at the end is, as a
+rule, small. A group leaves one open document at most, groups' leftovers meet in the same way in the next level of a tree,
+and the root's last one is drawn. So each source's taken words differ from its target by less than one document.
 
 Groups are hash buckets of bounded size inside a source, so a source with a third of all rows is many groups. Draws come
-from seeded hashes of the rows: reruns agree. Only (doc_id, source, size) travel.
+from seeded hashes of the rows and of their number among equal rows: reruns agree, and any number of equal rows is spread
+over buckets. Only (doc_id, source, size) travel. Sources may be many: their order, targets and sizes stay in tables.
 
 Edge cases: null text has size 0; a null source is a source of its own, last in order; documents without words are drawn
-one by one and take nothing; a source without words has target 0; repeated rows count as documents of their own and stand in a
-tie that any order breaks alike; other columns are ignored.
+one by one and take nothing; a source without words has target 0; repeated rows are documents of their own; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,53 +24,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.common import documents, staged
+from terrane.operators.shared import row_numbers
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times a source's size
 GROUP = 2_048
+SPREAD = 1 << 16  # equal rows that are numbered by one task
+FEW = 100_000  # sources whose table is broadcast; more are joined by a shuffle
 
 
 def n_words(text: F.Column) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict, weights: dict, most: int = MOST) -> dict:
-    """Words for each source: shares of the total by weight, at most ``most`` times its size, the excess shared again."""
-    left, free, out = float(sum(sizes.values())), set(sizes), {}
-    while free:
-        unit = left / sum(weights[s] for s in free)
-        over = {s for s in free if unit * weights[s] > most * sizes[s]}
-        for s in over or free:
-            out[s] = float(most * sizes[s]) if over else unit * weights[s]
-        left -= sum(out[s] for s in over)
-        free -= over or free
-    return out
-
-
-def _against_pool(p: list[float], a: list[int], luck: list[float]) -> None:
-    """Documents with one probability, largest first, each paired with the pool of all that follow: mass passes until the
-    document is decided, or the pool is. One document at most stays open, as a rule the smallest."""
-    rest, q = sum(a), p[0]
-    for i, size in enumerate(a):
-        rest -= size
-        if rest <= 0:
-            p[i] = q
-            p[i + 1 :] = [0.0] * (len(p) - i - 1)
-            return
-        up, down = min(1 - q, q * rest / size), min(q, (1 - q) * rest / size)
-        now = q + up if luck[i] * (up + down) < down else q - down
-        pool = min(1.0, max(0.0, q - (now - q) * size / rest))
-        if min(now, 1 - now) > 1e-12:
-            p[i], p[i + 1 :] = now, [float(round(pool))] * (len(p) - i - 1)
-            return
-        p[i], q = float(round(now)), pool
-        if min(q, 1 - q) <= 1e-12:
-            p[i + 1 :] = [float(round(q))] * (len(p) - i - 1)
-            return
+def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
+    """sources(words, weight, ...) with target: shares of all words by weight, at most ``most`` times a source's own, the excess
+    shared again by weight until none is above. The driver holds the share of a weight of one, and lets it grow."""
+    total, unit = sources.agg(F.sum("words")).first()[0] or 0, 0.0
+    cap = F.col("words") * most
+    while True:
+        over = F.col("weight") * unit > cap
+        kept, weight = sources.agg(F.sum(F.when(over, cap).otherwise(0)), F.sum(F.when(over, 0).otherwise(F.col("weight")))).first()
+        share = (total - kept) / weight if weight else unit
+        if share <= unit or not weight:
+            return sources.withColumn("target", F.least(F.col("weight") * F.lit(unit), cap.cast("double")))
+        unit = share
 
 
 def _pair_by_pair(p: list[float], a: list[int], luck: list[float]) -> None:
-    """Documents with probabilities of their own: two meet, one is decided, the other meets the next."""
+    """Two open documents meet, one is decided, the other meets the next."""
     open_ = -1
     for i in range(len(p)):
         if not 0.0 < p[i] < 1.0:
@@ -99,10 +82,7 @@ def _paired(level: int, last: bool):
         luck = rng.random(len(table) + 1).tolist()
         n = int((size > 0).sum())  # those without words are decided
         p, a = chance[:n].tolist(), size[:n].tolist()
-        if n and min(p) == max(p) and 0 < p[0] < 1:
-            _against_pool(p, a, luck)
-        else:
-            _pair_by_pair(p, a, luck)
+        _pair_by_pair(p, a, luck)
         open_ = [i for i, x in enumerate(p) if 0 < x < 1]
         if last and open_:
             p[open_[0]] = float(luck[-1] < p[open_[0]])
@@ -114,21 +94,26 @@ def _paired(level: int, last: bool):
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for each row of docs(doc_id, source, size).
 
-    Weights repeat over the sources in code-point order, null last. The driver holds one row per source.
+    Weights repeat over the sources in code-point order, null last.
     """
-    docs = staged(docs.select("doc_id", "source", F.col("size").cast("long").alias("size")), "sizes")
-    totals = {r["source"]: (r["words"], r["rows"]) for r in docs.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()}
-    order = sorted((s for s in totals if s is not None)) + [None] * (None in totals)
-    goal = targets({s: totals[s][0] for s in order}, {s: weights[i % len(weights)] for i, s in enumerate(order)}, most)
-    plan = [(s, totals[s][0], goal[s], (goal[s] / totals[s][0]) if totals[s][0] else 0.0, -(-totals[s][1] // GROUP)) for s in order]
-    plan = docs.sparkSession.createDataFrame(plan, "of string, source_size long, target double, rate double, groups long")
-    draw = F.xxhash64("doc_id", "size", F.lit("mix"))
-    rows = docs.join(plan, docs.source.eqNullSafe(plan.of)).drop("of").withColumn("draw", draw)
+    equal = docs.select("doc_id", "source", F.col("size").cast("long").alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    equal = staged(equal, "sizes")
+    sources = equal.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("rows"))
+    sources = row_numbers(sources, [], [F.col("source").isNull(), "source"])
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("n") - 1, F.lit(len(weights))) + 1).cast("int"))
+    plan = targets(staged(sources.select("source", "words", "rows", weight.cast("long").alias("weight")), "sources"), most)
+    plan = plan.select(F.col("source").alias("of"), F.col("words").alias("source_size"), "target", F.coalesce(F.try_divide("target", "words"), F.lit(0.0)).alias("rate"), F.ceil(F.col("rows") / GROUP).alias("groups"))
+    size = plan.agg(F.count("*"), F.max("groups")).first()
+    numbered = equal.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SPREAD)))).repartition("doc_id", "source", "size", "chunk")
+    numbered = numbered.withColumn("number", F.explode(F.sequence(F.col("chunk") * SPREAD, F.least("n", (F.col("chunk") + 1) * SPREAD) - 1)))
+    numbered = numbered.select("doc_id", "source", "size", F.xxhash64("doc_id", "size", "number", F.lit("mix")).alias("draw"))
+    plan = F.broadcast(plan) if size[0] <= FEW else plan
+    rows = numbered.join(plan, numbered.source.eqNullSafe(plan.of)).drop("of")
     whole = F.floor("rate")
     chance = F.col("rate") - whole
     luck = F.pmod(F.col("draw"), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.withColumn("copies", whole).withColumn("chance", F.when(F.col("size") > 0, chance).otherwise((luck < chance).cast("double")))
-    level, groups, done = 0, max((-(-r // GROUP) for _, r in totals.values()), default=1), []
+    level, groups, done = 0, size[1] or 1, []
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     while True:
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("draw", F.lit(level)), F.greatest("groups", F.lit(1))))

@@ -10,7 +10,9 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from terrane.llm import catalog, mixing
+from test_mixing import shared
+
+from terrane.llm import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +33,7 @@ def test_op2(spark, docs):
     for d, r in docs.items():
         own[r.source] += size[d]
     names = sorted(s for s in own if s is not None) + [None] * (None in own)
-    goal = mixing.targets(dict(own), {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)})
+    goal = shared({s: (own[s], (5, 2, 1)[i % 3]) for i, s in enumerate(names)})
     assert abs(sum(goal.values()) - sum(own.values())) < 1e-6 or all(goal[s] == 3 * own[s] for s in names)
     got = rows(spark, "op2")
     assert len(got) == len(docs)
