@@ -5,13 +5,16 @@ marker that follows, so a text's ids are those of its marked words (a run of mar
 after another. So:
 
 1. Each block of documents lists its distinct marked words, packed by hash into buckets.
-2. A bucket meets equal words of all blocks, segments and decodes each of them once by the library, and answers every block
-   with the ids of the words it listed, in that order.
-3. The answers meet the block's texts; ids and text are joined back by position, vectorised.
+2. A bucket meets equal words of all blocks, segments each of them once by the library, and answers every block with the ids
+   of the words it listed, in that order, under a digest of those words.
+3. The answers meet the block's texts; ids are joined back by position, vectorised, and each row's ids are decoded by the
+   library.
 
 A word comes once from a block, so no bucket is hot, however common a word is; what travels is the texts once, compressed,
-and the distinct words and ids of blocks. A block that finds an answer missing (its rows were dealt otherwise when read
-again) segments the words itself, so the result never depends on it.
+and the distinct words and ids of blocks. A block whose words don't have an answer's digest (its rows were dealt otherwise
+when read again) segments them itself, so the result never depends on how rows are dealt.
+
+The table is one for each SLAB of text, so that a block's rows (one for each bucket) don't grow with the corpus.
 
 Models for which this doesn't hold (another normaliser, pieces across markers, no dummy prefix) are detected when the
 operator is built; they encode whole texts as single chunks, with the same result as the library's.
@@ -22,7 +25,7 @@ the input are replaced, other columns pass; repeated rows get equal results.
 
 from __future__ import annotations
 
-import json
+import hashlib
 import re
 import zlib
 
@@ -36,7 +39,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from terrane.llm.common import documents, numbered_runs, pack_blocks, runs, staged, trim, unpack_block, utf8
 
 MARKED = re.compile("[ ▁]+[^ ▁]*")
+PARTED = re.compile("\0(?=[ ▁])")  # no word holds a marker after another character
 BLOCK = 4 << 20
+SLAB = 16 << 30  # bytes of text that share a table
+BUCKET = 12 << 20  # bytes of text for each bucket
 
 
 class Pieces:
@@ -49,16 +55,21 @@ class Pieces:
         pieces = (sp.id_to_piece(i) for i in range(sp.vocab_size()))
         plain = all(sp.normalize(x) == "▁" + x.replace(" ", "▁") for x in ("a", " a  b\n", "ﬁ　Å Á​", "\t"))
         self.by_word = plain and not any(re.search("[^▁]▁", p) for p in pieces)
-        self.anchor = sp.encode("a")
-        self.marker = sp.encode("a ")[len(self.anchor) :]
+        self.marker = sp.encode("a ")[len(sp.encode("a")) :]
 
-    def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
-        """ids of marked words one after another, how many each has, and the text of the few that don't decode to themselves."""
+    def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of marked words one after another, and how many each has."""
         found = iter(self.sp.encode([w[1:] for w in words if len(w) > 1], num_threads=1))
         lists = [next(found) if len(w) > 1 else self.marker for w in words]
-        texts = self.sp.decode([self.anchor + x for x in lists]) if lists else []
-        size = np.array([len(x) for x in lists], np.int64)
-        return np.array([i for x in lists for i in x], np.int32), size, {k: t[1:] for k, (t, w) in enumerate(zip(texts, words)) if t[1:] != w}
+        return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The text of each row's ids, a run of rows at a time."""
+        out: list[str] = []
+        for i, j in runs(ends, 1 << 18):
+            rows = [ids[a:b].tolist() for a, b in zip(ends[i:j].tolist(), ends[i + 1 : j + 1].tolist())]
+            out += self.sp.decode(rows, num_threads=1)
+        return out
 
 
 def _gather(start: np.ndarray, size: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -86,8 +97,16 @@ def _dealt(words: dict[str, int], buckets: int) -> list[list[str]]:
     return out
 
 
-def _asked(text: str, buckets: int):
-    """bucket, block, blob: the distinct words of each block."""
+def _listed(words: list[str]) -> bytes:
+    return "\0".join(words).encode()
+
+
+def _digest(listed: bytes) -> bytes:
+    return hashlib.blake2b(listed, digest_size=16).digest()
+
+
+def _asked(text: str, buckets: int, slabs: int):
+    """slab, bucket, block, blob: the distinct words of each block."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
@@ -95,29 +114,32 @@ def _asked(text: str, buckets: int):
             words = dict.fromkeys(w for t in rows.column(text).to_pylist() if t for w in MARKED.findall(" " + t))
             full = [(k, x) for k, x in enumerate(_dealt(words, buckets)) if x]
             if full:
-                blobs = [pack.compress(json.dumps(x, ensure_ascii=False).encode()) for _, x in full]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "blob"])
+                blobs = [pack.compress(_listed(x)) for _, x in full]
+                kinds = ([(block >> 32) % slabs] * len(full), [k for k, _ in full])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in kinds), pa.array([block] * len(full), pa.int64()), pa.array(blobs, pa.binary())], ["slab", "bucket", "block", "blob"])
                 trim()
 
     return run
 
 
-def _answer(size: np.ndarray, ids: np.ndarray, texts: dict[int, str]) -> bytes:
-    """How many ids each word has, the ids, and odd texts: in as few bytes a number as their greatest needs."""
+def _answer(digest: bytes, size: np.ndarray, ids: np.ndarray) -> bytes:
+    """The words' digest, how many words there are and how many ids each has, and the ids: in as few bytes a number as their
+    greatest needs."""
     kinds = [next(k for k in (1, 2, 4) if int(x.max(initial=0)) < 1 << 8 * k) for x in (size, ids)]
-    said = json.dumps(texts).encode()
-    return bytes(kinds) + len(said).to_bytes(8, "little") + said + size.astype(f"<u{kinds[0]}").tobytes() + ids.astype(f"<u{kinds[1]}").tobytes()
+    return digest + bytes(kinds) + len(size).to_bytes(8, "little") + size.astype(f"<u{kinds[0]}").tobytes() + ids.astype(f"<u{kinds[1]}").tobytes()
 
 
-def _read_answer(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
-    at = 10 + int.from_bytes(raw[2:10], "little")
-    size = np.frombuffer(raw, f"<u{raw[0]}", n, at).astype(np.int64)
-    ids = np.frombuffer(raw, f"<u{raw[1]}", int(size.sum()), at + raw[0] * n).astype(np.int32)
-    return ids, size, {int(k): t for k, t in json.loads(raw[10:at]).items()}
+def _read_answer(raw: bytes, digest: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+    """ids and sizes, if they are for the words of this digest."""
+    if raw[:16] != digest:
+        return None
+    n = int.from_bytes(raw[18:26], "little")
+    size = np.frombuffer(raw, f"<u{raw[16]}", n, 26).astype(np.int64)
+    return np.frombuffer(raw, f"<u{raw[17]}", int(size.sum()), 26 + raw[16] * n).astype(np.int32), size
 
 
 def _answered(shipped):
-    """block, bucket, n, blob: for each block the ids of the words it listed; each distinct word is segmented once."""
+    """block, bucket, blob: for each block the ids of the words it listed; each distinct word is segmented once."""
 
     def run(key: tuple, asked: pa.Table) -> pa.Table:
         trim()
@@ -125,17 +147,12 @@ def _answered(shipped):
         number: dict[str, int] = {}
         lists = []
         for x in asked.column("blob"):
-            lists.append(np.array([number.setdefault(w, len(number)) for w in json.loads(unpack.decompress(x.as_buffer()))], np.int64))
-        ids, size, odd = pieces.table(list(number))
+            raw = unpack.decompress(x.as_buffer())
+            lists.append((_digest(raw), np.array([number.setdefault(w, len(number)) for w in PARTED.split(raw.decode())], np.int64)))
+        ids, size = pieces.table(list(number))
         start = np.cumsum(size) - size
-        strange = np.zeros(len(size), bool)
-        strange[list(odd)] = True
-        blobs = []
-        for at in lists:
-            texts = {int(k): odd[int(at[k])] for k in np.flatnonzero(strange[at])}
-            blobs.append(pack.compress(_answer(size[at], _gather(start[at], size[at], ids), texts)))
-        n = [len(x) for x in lists]
-        return pa.table({"block": asked.column("block"), "bucket": pa.array([key[0].as_py()] * len(n), pa.int32()), "n": pa.array(n, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        blobs = [pack.compress(_answer(digest, size[at], _gather(start[at], size[at], ids))) for digest, at in lists]
+        return pa.table({"block": asked.column("block"), "bucket": pa.array([key[1].as_py()] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -147,45 +164,34 @@ def _joined(shipped, text: str, buckets: int, schema: pa.Schema):
         trim()
         if not len(left):
             return schema.empty_table()
-        part, unpack, pieces = unpack_block(left.column("body")[0]), zstandard.ZstdDecompressor(), None
-        texts = [t or "" for t in part.column(text).to_pylist()]
-        words, ends = _words(texts)
-        answers = {b: (n, x) for b, n, x in zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column("blob"))}
+        part, unpack, pieces = unpack_block(left.column("body")[0]), zstandard.ZstdDecompressor(), Pieces(shipped.value)
+        words, ends = _words([t or "" for t in part.column(text).to_pylist()])
+        answers = dict(zip(right.column("bucket").to_pylist(), right.column("blob")))
         number: dict[str, int] = {}
-        sizes, ids, odd = [np.empty(0, np.int64)], [np.empty(0, np.int32)], {}
+        sizes, ids = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
         for bucket, own in enumerate(_dealt(dict.fromkeys(words), buckets)):
             if not own:
                 continue
-            n, blob = answers.get(bucket, (-1, None))
-            if n == len(own):
-                found = _read_answer(unpack.decompress(blob.as_buffer()), n)
-            else:
-                pieces = pieces or Pieces(shipped.value)
-                found = pieces.table(own)
-            odd |= {len(number) + k: t for k, t in found[2].items()}
+            found = _read_answer(unpack.decompress(answers[bucket].as_buffer()), _digest(_listed(own))) if bucket in answers else None
+            found = pieces.table(own) if found is None else found
             number |= zip(own, range(len(number), len(number) + len(own)))
             ids.append(found[0])
             sizes.append(found[1])
         ids, size = np.concatenate(ids), np.concatenate(sizes)
         at = np.array([number[w] for w in words], np.int64)
+        del words, number
         out = _gather((np.cumsum(size) - size)[at], size[at], ids)
         stop = np.concatenate(([0], np.cumsum(size[at])))[ends]
-        strange = np.zeros(len(size), bool)
-        strange[list(odd)] = True
-        strange = np.concatenate(([0], np.cumsum(strange[at])))[ends]
-        decoded = [
-            t if strange[k + 1] == strange[k] else "".join(odd.get(number[w], w) for w in words[ends[k] : ends[k + 1]])[1:]
-            for k, t in enumerate(texts)
-        ]
-        made = {"ids": pa.ListArray.from_arrays(pa.array(stop.astype(np.int32)), pa.array(out)), "decoded": pa.array(decoded, pa.string())}
+        made = {"ids": pa.ListArray.from_arrays(pa.array(stop.astype(np.int32)), pa.array(out)), "decoded": pa.array(pieces.decoded(out, stop), pa.string())}
         return pa.table([made[f.name] if f.name in made else part.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     return run
 
 
 def _whole(pieces: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    ids = pieces.sp.encode(texts, num_threads=1)
-    return np.array([i for x in ids for i in x], np.int32), np.cumsum([0, *map(len, ids)]), [pieces.sp.decode(x) if x else "" for x in ids]
+    found = pieces.sp.encode(texts, num_threads=1)
+    ids, ends = np.array([i for x in found for i in x], np.int32), np.cumsum([0, *map(len, found)])
+    return ids, ends, pieces.decoded(ids, ends)
 
 
 def _texts_alone(shipped, names: list[str], text: str):
@@ -218,9 +224,9 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     if not Pieces(data).by_word:
         return docs.mapInArrow(_texts_alone(shipped, names, text), result)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = int(size // (12 << 20)) + 8
-    asked = docs.select(text).mapInArrow(_asked(text, buckets), "bucket int, block long, blob binary")
-    answers = staged(asked.groupBy("bucket").applyInArrow(_answered(shipped), "block long, bucket int, n long, blob binary"), "answers")
+    buckets, slabs = int(min(size, SLAB) // BUCKET) + 8, int(size // SLAB) + 1
+    asked = docs.select(text).mapInArrow(_asked(text, buckets, slabs), "slab int, bucket int, block long, blob binary")
+    answers = staged(asked.groupBy("slab", "bucket").applyInArrow(_answered(shipped), "block long, bucket int, blob binary"), "answers")
     blocks = docs.mapInArrow(pack_blocks(names, text, BLOCK), "block long, body binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_joined(shipped, text, buckets, to_arrow_schema(result)), result)
 

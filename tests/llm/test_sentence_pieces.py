@@ -3,7 +3,9 @@ import hashlib
 import pyarrow as pa
 import pytest
 import sentencepiece
+import zstandard
 from helpers import awkward, table
+from pyspark.sql import functions as F
 
 from terrane.llm import sentence_pieces as S
 
@@ -31,23 +33,51 @@ def test_same_as_library(spark, monkeypatch, by_word):
     assert sorted(r.decoded for r in back) == sorted(r.decoded for r in got)
 
 
-def test_missing_answers(spark):
-    """Blocks whose answers are missing or of another length segment their words themselves."""
-    model = open(S.default_model(), "rb").read()
-    rows = pa.record_batch({"doc_id": [1, 2], "text": ["a b  c", None]})
+class Shipped:
+    value = open(S.default_model(), "rb").read()
 
-    class Shipped:
-        value = model
 
-    sink = pa.BufferOutputStream()
+def packed(texts):
+    rows, sink = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())}), pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema) as w:
         w.write_batch(rows)
-    left = pa.table({"block": [0], "body": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-    none = pa.table({"block": pa.array([0], pa.int64()), "bucket": pa.array([0], pa.int32()), "n": pa.array([77]), "blob": pa.array([b"x"], pa.binary())})
-    for right in (none, none.slice(0, 0)):
-        got = S._joined(Shipped, "text", 3, schema)(left, right).to_pylist()
-        assert [r["ids"] for r in got] == [S.Pieces(model).sp.encode("a b  c"), []] and [r["decoded"] for r in got] == ["a b  c", ""]
+    return pa.table({"block": [0], "body": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def answers(texts, buckets):
+    """What buckets say to a block of these texts."""
+    listed = S._dealt(dict.fromkeys(S._words(texts)[0]), buckets)
+    full = [(k, zstandard.compress(S._listed(x))) for k, x in enumerate(listed) if x]
+    out = []
+    for k, blob in full:
+        asked = pa.table({"block": pa.array([0], pa.int64()), "blob": pa.array([blob], pa.binary())})
+        out.append(S._answered(Shipped)((pa.scalar(0), pa.scalar(k)), asked))
+    return pa.concat_tables(out)
+
+
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_missing_and_swapped_answers(buckets):
+    """A block uses only answers to its own words, however many words another one has."""
+    sp = S.Pieces(Shipped.value).sp
+    texts, other = ["alpha beta", None, "beta\0 \0x"], ["gamma delta", "", "delta\0 \0y"]
+    own, swapped = answers(["alpha beta", "beta\0 \0x"], buckets), answers(["gamma delta", "delta\0 \0y"], buckets)
+    for mine, right in ((texts, own), (texts, swapped), (other, own), (texts, own.slice(0, 0))):
+        got = S._joined(Shipped, "text", buckets, SCHEMA)(packed(mine), right).to_pylist()
+        assert [r["ids"] for r in got] == [sp.encode(t or "") for t in mine]
+        assert [r["decoded"] for r in got] == [sp.decode(sp.encode(t)) if t else "" for t in mine]
+
+
+def test_slabs_and_clashing_columns(spark, monkeypatch):
+    sp = sentencepiece.SentencePieceProcessor(model_file=S.default_model())
+    for name, value in (("SLAB", 2_000), ("BUCKET", 300), ("BLOCK", 900)):
+        monkeypatch.setattr(S, name, value)
+    docs = table(spark, awkward(5)).withColumn("decoded", F.lit(1)).withColumn("ids", F.lit("x"))
+    got = S.encode(docs, S.default_model())
+    assert got.columns == [*docs.columns[:-2], "ids", "decoded"]
+    assert all(r.ids == sp.encode(r.text or "") for r in got.collect())
 
 
 def test_query(spark):
