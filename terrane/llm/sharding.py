@@ -5,11 +5,13 @@ of 32 cells a side. Rows are put in order of their cell's index on the Hilbert c
 into runs of near equal bytes. Neighbours on the curve are neighbours in every axis, so a shard covers few languages, few
 sources and few sizes, and a filter on any of them prunes shards.
 
-Equal texts stand together: their cell is that of their least language and source. A group of them that is small against
-a shard is never cut; larger ones are, or sizes would not be near equal.
+Equal texts stand together: their cell is that of their least language and source. With the target T of bytes for a shard, a
+group of them of up to T / ``whole`` bytes is never cut: it goes where its middle is, so each of a shard's two ends moves by
+half a group at most, and a shard's bytes differ from T by at most T / whole and a row. A larger group is cut like any run of
+rows, as no order of whole groups could keep that bound.
 
 The order is global, yet no window sees all rows: rows are range-partitioned by the order (ties by a hash of doc_id, so a
-group of copies of any size is spread), summed by partition, and placed by their partition's offset.
+group of copies of any size is spread; rows equal in doc_id too by their place), summed by partition, and placed by their partition's offset.
 
 Edge cases: null text has no bytes, size 1; null language or source are values of their own; repeated rows take separate
 slots, in no particular order among themselves; an empty table gives no rows; other columns are ignored.
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 from terrane.llm.common import documents, partitions, staged
 
 SIDE_BITS = 5
-WHOLE = 8  # groups of up to 1 / WHOLE of a shard stay together
 
 
 def hilbert_tables(axes: int) -> tuple[list[int], list[int]]:
@@ -68,7 +69,7 @@ def hilbert_index(axes: list[F.Column], bits: int) -> F.Column:
     return F.aggregate(F.array(*corners), zero, step, lambda acc: acc["index"])
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
+def hilbert_shards(docs: DataFrame, shards: int = 16, whole: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for docs(doc_id, text, lang, source); see the module's text."""
     spark, cells = docs.sparkSession, 1 << SIDE_BITS
     rows = staged(
@@ -88,9 +89,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     # Written first: then both sides of the join are plain exchanges, and a group of many copies can be split.
     group = staged(group.select(*same, "copies", hilbert_index([F.col("lang"), F.col("source"), octave], SIDE_BITS).alias("cell")), "groups")
     placed = rows.drop("lang", "source").join(group, same)
-    large = F.col("copies") * F.col("size") * WHOLE > target
-    placed = placed.withColumn("large", large).withColumn("spread", F.when(large, F.xxhash64("doc_id")))
-    order = ["cell", *same, "spread"]
+    large = F.col("copies") * F.col("size") * whole > target
+    placed = placed.withColumn("large", large).withColumn("spread", F.when(large, F.xxhash64("doc_id"))).withColumn("place", F.when(large, F.monotonically_increasing_id()))
+    order = ["cell", *same, "spread", "place"]
     ordered = placed.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id())
     ordered = staged(ordered, "ordered")
     sums = ordered.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))  # a row for each partition

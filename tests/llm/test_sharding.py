@@ -50,3 +50,25 @@ def test_near_equal_and_groups_whole(spark):
     assert len(sizes) == 8 and max(sizes.values()) < 1.15 * min(sizes.values())
     where = {r.doc_id: r.shard for r in got}
     assert all(len({where[5000 + 10 * i + k] for k in range(5)}) == 1 for i in range(40))
+
+
+def test_bound_for_whole_groups(spark):
+    """Sizes differ from their mean by mean / whole and a row at most; groups up to mean / whole stay together; clashing columns."""
+    import random
+
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randrange(1, 80)) for _ in range(120)]
+    rows = [(i, rng.choice(texts), rng.choice(["en", None]), rng.choice("ab"), 0, "", 0) for i in range(1500)]
+    rows += [(None, texts[0], "en", "a", 0, "", 0)] * 700  # equal in every column
+    docs = table(spark, rows)
+    for c in ("size", "shard", "slot", "mark", "cell", "large"):
+        docs = docs.withColumn(c, F.lit("x"))
+    for shards, whole in ((4, 8), (5, 3)):
+        got = hilbert_shards(docs, shards, whole).collect()
+        sizes = check(rows, got, shards)
+        mean, most = sum(sizes.values()) / shards, max(r.size for r in got)
+        assert len(sizes) == shards and all(abs(x - mean) <= mean / whole + most for x in sizes.values())
+        groups = {}
+        for r in got:
+            groups.setdefault((r.text_crc32, r.size), []).append(r.shard)
+        assert all(len(set(g)) == 1 for (_, size), g in groups.items() if len(g) * size * whole <= mean)
