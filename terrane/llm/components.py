@@ -15,15 +15,18 @@ def _stamp(edges: DataFrame) -> tuple:
 def connected(links: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of links(a, b). Loops and repeated links are ignored; no links, no rows.
 
-    Each round is written to the shared folder, so lineage stays short and lost executors cost one round at most.
+    A round's large star moves each edge (u, v), u > v, to v's least neighbour below it, its small star moves all of u's edges
+    to the least of them. The table of least neighbours is written before the join: both sides are plain exchanges then, so a
+    node that many edges lead to can be split. Each round is written to the shared folder, so lineage stays short and lost
+    executors cost one round at most.
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     stamp = _stamp(edges)
     while stamp[0]:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        below = staged(edges.groupBy("u").agg(F.min("v").alias("m")), "below")
+        large = edges.join(below.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = staged(large.distinct(), "large")
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = staged(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         before, stamp = stamp, _stamp(edges)

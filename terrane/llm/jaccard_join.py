@@ -40,8 +40,10 @@ BLANK[[32, *range(9, 14)]] = True
 RUN = 1 << 19  # bytes of text hashed at once
 BLOCK = 4 << 20  # bytes of text whose signatures are pre-aggregated together
 LIMIT = 8  # members of a signature of which all pairs are taken at once
-TILE = 512  # texts that are compared with as many others at once
-COLUMNS = 4096  # shingles of a matrix
+TILE = 4096  # texts that are compared with as many others at once
+CARRIED = 2 << 20  # shingles of a tile
+COLUMNS = 1024  # shingles of a matrix
+STRIP = 256  # texts of a tile whose similarities are judged at once
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -400,8 +402,13 @@ def _tile(width: int, percent: int):
                 part[row[lo:hi], at[lo:hi] - start] = 1
                 parts.append(part)
             both += parts[0] @ parts[1].T
-        good = (100 * both >= percent * (m[:, None] + n[None, :] - both)) & (in_a[:, None] != in_b[None, :])
-        i, j = np.nonzero(good)
+        links = [np.empty((2, 0), np.int64)]
+        for k in range(0, len(m), STRIP):
+            own = slice(k, k + STRIP)
+            good = (100 * both[own] >= percent * (m[own, None] + n[None, :] - both[own])) & (in_a[own, None] != in_b[None, :])
+            i, j = np.nonzero(good)
+            links.append(np.stack((i + k, j)))
+        i, j = np.concatenate(links, axis=1)
         _, one = np.unique(np.stack((in_a[i], in_b[j])), axis=1, return_index=True)  # a link for two components is enough
         return pa.table([a[i[one]], b[j[one]]], schema=schema)
 
@@ -411,16 +418,18 @@ def _tile(width: int, percent: int):
 def _compared(docs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between components among the members of long signatures, by comparing them in tiles.
 
-    Members that long signatures connect form a cluster; in it texts are dealt by size into tiles of about TILE, and tiles of
-    like sizes meet. Every pair is compared, but pairs are never rows: a tile against a tile is a matrix product.
+    Members that long signatures connect form a cluster; in it texts are dealt by size into tiles of about TILE texts and CARRIED
+    shingles, and tiles of like sizes meet. Every pair is compared, but pairs are never rows: a tile against a tile is a matrix
+    product. A text travels once for each tile that its own meets, so a bounded number of times in a cluster of up to TILE.
     """
     least = rows.groupBy("sig").agg(F.min("node").alias("b"))
     clusters = connected(rows.join(least, "sig").select(F.col("node").alias("a"), "b").distinct()).withColumnRenamed("component", "cluster")
     wanted = rows.select("node", "component").distinct().join(clusters, "node")
     sizes = sets.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"))
     band = F.floor(2 * F.ln("n") / F.log(F.lit(100 / percent))).cast("int")
-    wanted = staged(wanted.join(sizes, "node").withColumn("band", band).drop("n"), "wanted")
-    many = wanted.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    wanted = staged(wanted.join(sizes, "node").withColumn("band", band), "wanted")
+    many = wanted.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / CARRIED)).cast("int").alias("tiles"))
+    wanted = wanted.drop("n")
     tiles = many.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     x, y = (tiles.select("cluster", F.col("band").alias(f"band_{k}"), F.col("tile").alias(f"tile_{k}")) for k in "xy")
     ahead = F.col("band_y") - F.col("band_x")  # a partner is at most 100 / percent times as large: two bands, and one for rounding

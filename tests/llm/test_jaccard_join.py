@@ -3,9 +3,11 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import WORDS, awkward, prose, table
 
+from terrane.llm import jaccard_join as J
 from terrane.llm.components import connected
 from terrane.llm.jaccard_join import Bands, histogram, jaccard_components, least_distance, signatures
 
@@ -83,3 +85,27 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4), (20, 21), (21, 22), (22, 23), (30, 20), (30, 31)]
     found = {r.node: r.component for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {1: 1, 2: 1, 3: 1, **dict.fromkeys(range(5, 10), 5), **dict.fromkeys([20, 21, 22, 23, 30, 31], 20)}
+
+
+def test_tiles(monkeypatch):
+    """Links between components of two tiles, in strips and columns of any size, are those of all pairs."""
+    rng = random.Random(3)
+    base = [prose(rng, 60).split() for _ in range(4)]
+    texts = []
+    for k in range(40):
+        w = list(base[k % 4])
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(60)] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    side = pa.table({"node": list(range(40)), "component": [k // 2 for k in range(40)], "text": texts})
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    want = {(i // 2, j // 2) for i in range(40) for j in range(40) if i // 2 != j // 2 and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    for strip, columns in ((256, 1024), (7, 3)):
+        monkeypatch.setattr(J, "STRIP", strip)
+        monkeypatch.setattr(J, "COLUMNS", columns)
+        got = J._tile(5, 80)(side, side).to_pylist()
+        assert {(r["a"] // 2, r["b"] // 2) for r in got} == want and len(got) == len(want)
+        for r in got:
+            x, y = sets[r["a"]], sets[r["b"]]
+            assert 100 * len(x & y) >= 80 * len(x | y)
+    assert want
