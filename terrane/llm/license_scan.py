@@ -1,12 +1,13 @@
 """License scans by diagonal voting, by DataFrame functions only.
 
-Every window of K words of every text is joined with the same windows of the templates (a fixed, small table). A match at
+Templates are base phrases, notices of common licenses and whole texts of short ones (a fixed, small table). Every window of K
+words of every text is joined by its rolling hash (a hash of its words' hashes) with the windows of the templates. A match at
 word i of the text and word j of a template votes for the diagonal i - j: a template that stands at one place gives all its
 votes to one diagonal, whatever else matches by chance. Insertions and deletions move votes to diagonals near by, so
 neighbouring diagonals are merged. A merged diagonal's span is verified by the share of the template's windows that it
-covers, each counted once; windows are compared word by word in the join, so votes are exact.
+covers, each counted once; windows that meet by their hashes are compared word by word, so votes are exact.
 
-Base phrases are templates too: such a phrase stands where one diagonal has all of its windows.
+A base phrase stands where one diagonal has all of its windows.
 
 Only matches are shuffled, with one row for each document. Edge cases: null text counts as empty and gives no words; fewer
 words than a window match nothing; repeated rows are counted and given back as often; labels of the input and other columns
@@ -15,10 +16,13 @@ are ignored; very long texts are scanned whole.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.common import documents
+from terrane.llm.license_texts import BASE, NOTICES, TEXTS
 
 K = 3
 NEAR = 4  # words by which diagonals of one span may differ
@@ -26,22 +30,6 @@ COVER = 0.6  # share of a template's windows for its label
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Phrases whose places are counted, and the usual notices of common licenses.
-BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-NOTICES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "apache-2": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
-    "lgpl": "under the terms of the gnu lesser general public license as published by the free software foundation",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
-    "cc-by-sa": "licensed under a creative commons attribution sharealike 4 0 international license",
-    "cc-by-nc": "licensed under a creative commons attribution noncommercial 4 0 international license",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "proprietary": "all rights reserved no part of this publication may be reproduced",
-}
 
 
 def words(text: F.Column) -> F.Column:
@@ -50,29 +38,46 @@ def words(text: F.Column) -> F.Column:
     return F.filter(F.split(folded, SPLIT), lambda w: w != "")
 
 
-def templates(spark, base: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """template, label, is_base, size (windows), j, gram: bounded by the constants given."""
-    rows = [(n, label, is_base, text.split()) for n, (text, label, is_base) in enumerate([*((p, x, True) for p, x in base.items()), *((t, x, False) for x, t in notices.items())])]
-    rows = [(n, label, b, len(w) - K + 1, j, " ".join(w[j : j + K])) for n, label, b, w in rows for j in range(len(w) - K + 1)]
-    return spark.createDataFrame(rows, "template int, label string, is_base boolean, size int, j int, gram string")
+def listed(base: dict[str, str], notices: dict[str, str], whole: dict[str, str]) -> list[tuple[int, str, bool, list[str]]]:
+    """Number, label, whether it is a base phrase, and words of each template."""
+    rows = [*((p, label, True) for p, label in base.items()), *((t, label, False) for label, t in (*notices.items(), *whole.items()))]
+    return [(n, label, is_base, [w for w in re.split(SPLIT, text.lower()) if w]) for n, (text, label, is_base) in enumerate(rows)]
+
+
+def rolled(w: F.Column, i: F.Column) -> F.Column:
+    """Hash of the window of K words from i on (null beyond the end), given the words' hashes."""
+    return F.xxhash64(*(F.get(w, i + n) for n in range(K)))
+
+
+def windows(w: F.Column) -> F.Column:
+    """key (a rolling hash) and gram (the words) of each window, by the place of its first word."""
+    hashes = F.transform(w, lambda x: F.xxhash64(x))
+    gram = lambda i: F.concat_ws(" ", *(F.get(w, i + n) for n in range(K)))
+    return F.transform(hashes, lambda _, i: F.struct(rolled(hashes, i).alias("key"), gram(i).alias("gram")))
 
 
-def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
+def templates(spark, base: dict[str, str], notices: dict[str, str], whole: dict[str, str]) -> DataFrame:
+    """template, label, is_base, size (windows), j, key, gram: bounded by the constants given."""
+    rows = [(n, label, is_base, len(w) - K + 1, w) for n, label, is_base, w in listed(base, notices, whole)]
+    known = spark.createDataFrame(rows, "template int, label string, is_base boolean, size int, w array<string>")
+    known = known.select("template", "label", "is_base", "size", F.posexplode(windows(F.col("w"))).alias("j", "x")).where(F.col("j") < F.col("size"))
+    return known.select("template", "label", "is_base", "size", "j", "x.key", F.col("x.gram").alias("template_gram"))
+
+
+def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str, str] | None = None, whole: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, cover (the best of any diagonal) and spans for each row of docs(doc_id, text).
 
     spans: array of (label, is_base, first, last, cover) in words; base spans are exact places, the others are merged
     diagonals whose cover of the template is at least COVER.
     """
-    known = templates(docs.sparkSession, BASE if base is None else base, NOTICES if notices is None else notices)
+    known = templates(docs.sparkSession, *(own if given is None else given for given, own in ((base, BASE), (notices, NOTICES), (whole, TEXTS))))
     texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))
-
-    def window(w: F.Column, i: F.Column) -> F.Column:
-        return F.concat_ws(" ", w, *(F.get(F.col("w"), i + n) for n in range(1, K)))
-
     # The first element stands for the document itself and matches nothing, so that each row has one that stays.
-    grams = F.concat(F.array(F.lit(None).cast("string")), F.transform("w", window))
-    grams = texts.select("doc_id", "mark", F.size("w").cast("long").alias("n_words"), F.posexplode(grams).alias("place", "gram"))
-    hits = grams.join(F.broadcast(known), "gram", "left").where("template is not null or place = 0")  # broadcast: a fixed size
+    none = F.struct(F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("gram"))
+    grams = texts.select("doc_id", "mark", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(none), windows(F.col("w")))).alias("place", "x"))
+    grams = grams.select("doc_id", "mark", "n_words", "place", "x.key", "x.gram")
+    same = (grams["key"] == known["key"]) & (grams["gram"] == known["template_gram"])
+    hits = grams.join(F.broadcast(known), same, "left").where("template is not null or place = 0")  # broadcast: a fixed size
     row, span = ["doc_id", "mark"], ["template", "label", "is_base", "size"]
     hits = hits.withColumn("i", F.col("place") - 1)
     votes = hits.groupBy(*row, *span, (F.col("i") - F.col("j")).alias("diagonal")).agg(
@@ -97,15 +102,15 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str,
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     places = F.filter("spans", lambda s: s["is_base"])
     starts = F.transform(places, lambda s: s["first"].cast("long"))
-    listed = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
     return scan(documents(spark, sf_dir)).select(
         "doc_id",
         "n_words",
         F.size(places).cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),
-        listed(places).alias("base_labels"),
-        listed(F.col("spans")).alias("labels"),
+        labels(places).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
         F.col("cover").alias("score"),
     )
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from terrane.llm.license_scan import BASE, COVER, K, LOWER, NEAR, NOTICES, SPLIT, UPPER
+from terrane.llm.license_scan import COVER, K, LOWER, NEAR, SPLIT, UPPER, listed
+from terrane.llm.license_texts import BASE, NOTICES, TEXTS
 
-_grams = [
-    f"({n}, '{label}', {str(base).lower()}, {len(w) - K + 1}, {j}, '{' '.join(w[j : j + K])}')"
-    for n, (label, base, w) in enumerate([*((x, True, p.split()) for p, x in BASE.items()), *((x, False, t.split()) for x, t in NOTICES.items())])
-    for j in range(len(w) - K + 1)
-]
+_grams = [f"({n}, '{label}', {str(base).lower()}, {len(w) - K + 1}, {j}, '{' '.join(w[j : j + K])}')" for n, label, base, w in listed(BASE, NOTICES, TEXTS) for j in range(len(w) - K + 1)]
 LICENSES = f"""with t(template, label, is_base, size, j, gram) as (values {', '.join(_grams)}),
 d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPLIT}'), lambda x: x <> '') as w from documents),
 g as (select doc_id, unnest(list_transform(range(1, len(w) - {K - 2}), lambda i: struct_pack(i := i - 1, gram := array_to_string(w[i:i + {K - 1}], ' ')))) as x from d),

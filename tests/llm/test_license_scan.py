@@ -1,8 +1,10 @@
 import re
 
 from helpers import awkward, table
+from pyspark.sql import functions as F
 
-from terrane.llm.license_scan import BASE, NOTICES, op10_license_scan, scan
+from terrane.llm.license_scan import op10_license_scan, scan
+from terrane.llm.license_texts import BASE, NOTICES, TEXTS
 
 
 def base(text):
@@ -29,7 +31,10 @@ def texts():
 def test_base_places_and_repeated_rows(spark):
     rows = awkward(1) + [(900 + i, t, None, None, 0, None, None) for i, t in enumerate(texts())]
     rows += rows[-3:] * 2
-    got = scan(table(spark, rows)).collect()
+    clash = table(spark, rows)
+    for c in ("mark", "key", "template", "label", "size", "place", "w"):
+        clash = clash.withColumn(c, F.lit(1))
+    got = scan(clash).collect()
     want = sorted((str(r[0]), *base(r[1])) for r in rows)
     assert sorted((str(r.doc_id), r.n_words, sorted((s.first, s.label) for s in r.spans if s.is_base)) for r in got) == want
 
@@ -42,6 +47,20 @@ def test_notices(spark):
     assert got[4].cover == 1 and 0 < got[6].cover < 0.3
 
 
+def test_whole_texts(spark):
+    """A license's whole text has its label, alone, wrapped otherwise, with words changed, or in the middle of another text."""
+    rows = []
+    for k, (label, text) in enumerate(TEXTS.items()):
+        w = text.split()
+        some = [x if i % 23 else "thing" for i, x in enumerate(w)]
+        rows += [(10 * k, text), (10 * k + 1, "\n * ".join(w)), (10 * k + 2, " ".join(some)), (10 * k + 3, "lorem ipsum " * 50 + text.upper() + " dolor" * 70)]
+    got = {r.doc_id: r for r in scan(table(spark, [(i, t, None, None, 0, None, None) for i, t in rows])).collect()}
+    for k, label in enumerate(TEXTS):
+        for i in range(4):
+            assert label in {s.label for s in got[10 * k + i].spans}, (label, i)
+        assert got[10 * k].cover == 1 and (100, True) in {(s.first, s.cover > 0.9) for s in got[10 * k + 3].spans}
+
+
 def test_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     got = op10_license_scan(spark, "/root/testdata/sf0.001").collect()
