@@ -196,7 +196,15 @@ def _suffixes(text: str, width: int, buckets: int):
     return run
 
 
-def _cut(text: str, width: int, schema: pa.Schema):
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """gone, and the other bytes of characters that lose one (data is UTF-8, from a character's start)."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(starts):
+        return gone
+    return np.repeat(np.logical_or.reduceat(gone, starts), np.diff(np.append(starts, len(data))))
+
+
+def _cut(text: str, width: int, whole: bool, schema: pa.Schema):
     """The block's documents without the bytes that repeats cover."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -233,6 +241,9 @@ def _cut(text: str, width: int, schema: pa.Schema):
         bounds = np.searchsorted(start, offsets)
         own = np.repeat(offsets[:-1], np.diff(bounds))
         spans = pa.StructArray.from_arrays([pa.array(start - own), pa.array(stop - own)], ["start", "stop"])
+        if whole:
+            gone = _whole_characters(data, gone)
+            np.cumsum(gone, out=before[1:])
         kept = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((offsets - before[offsets]).astype(np.int32)), pa.py_buffer(data[~gone])])
         made = {"kept": kept, "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed), "n_spans": pa.array(np.diff(bounds)), "spans": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans)}
         return pa.table([made[f.name] if f.name in made else part.column(f.name).cast(f.type) for f in schema], schema=schema)
@@ -240,9 +251,10 @@ def _cut(text: str, width: int, schema: pa.Schema):
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", width: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", width: int = 200, whole_characters: bool = False) -> DataFrame:
     """Every row of docs with ``kept`` (its bytes without those covered by a string of ``width`` bytes that also starts
-    elsewhere in the corpus), n_bytes, n_removed, n_spans and spans (maximal removed runs, in bytes). See the module's text."""
+    elsewhere in the corpus), n_bytes, n_removed, n_spans and spans (maximal removed runs, in bytes). With ``whole_characters``
+    kept also lacks the bytes that a run leaves of a character, so that it is text. See the module's text."""
     names = [c for c in docs.columns if c not in RESULT or c == text]
     blocks = staged(docs.select(names).mapInArrow(pack_blocks(names, text, BLOCK), "block long, body binary"), "blocks")
     by_block = blocks.groupBy("block")
@@ -272,7 +284,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 200) -> Dat
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return by_block.cogroup(marks.groupBy("block")).applyInArrow(_cut(text, width, to_arrow_schema(schema)), schema)
+    return by_block.cogroup(marks.groupBy("block")).applyInArrow(_cut(text, width, whole_characters, to_arrow_schema(schema)), schema)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

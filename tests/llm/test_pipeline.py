@@ -1,3 +1,5 @@
+import itertools
+
 import corpus_pipeline as P
 import pytest
 import sentencepiece
@@ -26,7 +28,7 @@ def cut(text, others):
     for i in range(len(t) - 199):
         if seen[t[i : i + 200]] > 1:
             gone[i : i + 200] = b"\1" * 200
-    return bytes(c for c, g in zip(t, gone) if not g).decode(errors="ignore")
+    return "".join(c for c, at in zip(text, itertools.accumulate([0, *(len(c.encode()) for c in text)])) if not any(gone[at : at + len(c.encode())]))
 
 
 def test_stages_by_brute_force(spark, rows, tmp_path):
@@ -83,3 +85,43 @@ def test_null_and_repeated_ids(spark):
 
     mixed = [tuple(r) for r in P.mixing_stage(spark, docs, "").collect()]
     assert mixed and all(mixed.count(r) <= 3 * some.count(r) for r in set(mixed)) and set(mixed) <= set(some)
+
+
+def test_cuts_inside_characters(spark):
+    """What a cut leaves of a character goes; a document's own U+FFFD stay, and so does text beside the cut."""
+    passage = "é" * 150
+    rows = [(1, "\ufffd own " + "ü" + passage + " \ufffd tail", "de", "a"), (2, "other ö" + passage[:-1] + "x", "de", "b"), (3, "\ufffd \ufffd alone", "de", "a")]
+    docs = table(spark, [(*r, 0, None, None) for r in rows]).select(P.COLUMNS)
+    got = {r.doc_id: r.text for r in P.repeat_stage(spark, docs, "").collect()}
+    assert got[3] == rows[2][1] and got[1].startswith("\ufffd own ") and got[1].endswith(" \ufffd tail")
+    # The second byte of "ü" and of "ö" differ, their first is that of "é": the repeat begins inside a character.
+    assert got == {1: "\ufffd own " + cut_whole(rows[0][1], rows) + " \ufffd tail", 2: "other " + cut_whole(rows[1][1], rows) + "x", 3: rows[2][1]}
+
+
+def cut_whole(text, rows):
+    """Characters of text's middle of which no byte is covered by a string of 200 bytes found elsewhere."""
+    texts = [r[1].encode() for r in rows]
+    seen = {}
+    for t in texts:
+        for i in range(len(t) - 199):
+            seen[t[i : i + 200]] = seen.get(t[i : i + 200], 0) + 1
+    t = text.encode()
+    gone = set()
+    for i in range(len(t) - 199):
+        if seen[t[i : i + 200]] > 1:
+            gone |= set(range(i, i + 200))
+    out, at = [], 0
+    for c in text:
+        n = len(c.encode())
+        if c in "éüö" and not gone & set(range(at, at + n)):
+            out.append(c)
+        at += n
+    return "".join(out)
+
+
+def test_many_equal_rows(spark):
+    """Repeated rows have keys of their own: the near-duplicate stage keeps one, the mix takes each for itself."""
+    docs = table(spark, [(None, "one two three four five six", None, None, 0, None, None)] * 30 + [(1, "seven eight", None, "a", 0, None, None)]).select(P.COLUMNS)
+    keys = [r.row for r in P.keyed(docs).collect()]
+    assert len(set(keys)) == 31 and sorted(keys) == sorted(r.row for r in P.keyed(docs.repartition(2)).collect())
+    assert P.near_duplicate_stage(spark, docs, "").count() == 2
