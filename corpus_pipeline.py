@@ -1,16 +1,20 @@
 """From raw documents to token ids, in five stages. Each stage is written as Parquet before the next one reads it.
 
-Every stage but the last returns the columns of ``documents`` (doc_id, text, lang, source, n_chars). Rows are documents of
-their own, whether or not their doc_id is null or repeated.
+Every stage but the last returns the columns of ``documents`` (doc_id, text, lang, source, n_chars) and ignores others. Rows
+are documents of their own, whether or not their doc_id is null or repeated; a stage on an empty table gives an empty one.
+Null texts have no letter, so the first stage drops them; alone, the other stages keep them (the second as documents without
+words, the third uncut, the fourth as often as a draw says, the last without ids). Ties go to the least doc_id, null last, then
+to the least key of a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm import jaccard_join, language_id, mixing, sentence_pieces, suffix_dedup
 from terrane.llm.common import staged
+from terrane.operators.shared import row_numbers
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SURE = 0.5  # least score of a language
@@ -24,12 +28,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with row, a key of each row: doc_id where no two rows share one, else a hash of the row and its number among equals."""
+    """docs with row, a key of each row: doc_id where no two rows share one, else a hash of the row and its number among equals.
+
+    Equal rows stand for each other, so any numbers do, and a group of them is spread over tasks.
+    """
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return docs.withColumn("row", F.col("doc_id"))
-    same = Window.partitionBy("hash").orderBy("doc_id", "text", "lang", "source", "n_chars")
-    docs = docs.withColumn("hash", F.xxhash64("doc_id", "text", "lang", "source"))
-    return staged(docs.withColumn("row", F.xxhash64("hash", F.row_number().over(same))).drop("hash"), "keyed")
+    docs = docs.withColumn("hash", F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS)))
+    docs = staged(docs.withColumn("place", F.monotonically_increasing_id()), "keyed")
+    numbers = row_numbers(docs.select("hash", "place"), ["hash"], ["place"])
+    numbers = staged(numbers.select("place", F.xxhash64("hash", "n").alias("row")), "numbers")
+    return staged(docs.join(numbers, "place").select(*COLUMNS, "row"), "rows")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +52,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that strings of 200 bytes found elsewhere cover are cut out, with what they leave of a character; documents
-    of which only white space is left go."""
-    found = suffix_dedup.remove_repeats(docs.select(COLUMNS))
-    left = F.col("kept").cast("string")
-    left = F.when(F.is_valid_utf8(left), left).otherwise(F.replace(F.make_valid_utf8(left), F.lit("�"), F.lit("")))
-    text = F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))
+    """Bytes that strings of 200 bytes found elsewhere cover are cut out, with what they leave of a character at their ends;
+    documents of which only white space is left go."""
+    found = suffix_dedup.remove_repeats(docs.select(COLUMNS), whole_characters=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
     found = found.withColumn("text", text).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
