@@ -44,24 +44,22 @@ def listed(base: dict[str, str], notices: dict[str, str], whole: dict[str, str])
     return [(n, label, is_base, [w for w in re.split(SPLIT, text.lower()) if w]) for n, (text, label, is_base) in enumerate(rows)]
 
 
-def rolled(w: F.Column, i: F.Column) -> F.Column:
-    """Hash of the window of K words from i on (null beyond the end), given the words' hashes."""
-    return F.xxhash64(*(F.get(w, i + n) for n in range(K)))
+def gram(w: str, i: F.Column) -> F.Column:
+    """The words of the window of K words from i on."""
+    return F.concat_ws(" ", *(F.get(w, i + n) for n in range(K)))
 
 
-def windows(w: F.Column) -> F.Column:
-    """key (a rolling hash) and gram (the words) of each window, by the place of its first word."""
-    hashes = F.transform(w, lambda x: F.xxhash64(x))
-    gram = lambda i: F.concat_ws(" ", *(F.get(w, i + n) for n in range(K)))
-    return F.transform(hashes, lambda _, i: F.struct(rolled(hashes, i).alias("key"), gram(i).alias("gram")))
+def rolled(h: str, i: F.Column) -> F.Column:
+    """The rolling hash of the window from i on, from a column of the words' hashes."""
+    return F.xxhash64(*(F.get(h, i + n) for n in range(K)))
 
 
 def templates(spark, base: dict[str, str], notices: dict[str, str], whole: dict[str, str]) -> DataFrame:
-    """template, label, is_base, size (windows), j, key, gram: bounded by the constants given."""
+    """template, label, is_base, size (windows), j, key, template_gram: bounded by the constants given."""
     rows = [(n, label, is_base, len(w) - K + 1, w) for n, label, is_base, w in listed(base, notices, whole)]
     known = spark.createDataFrame(rows, "template int, label string, is_base boolean, size int, w array<string>")
-    known = known.select("template", "label", "is_base", "size", F.posexplode(windows(F.col("w"))).alias("j", "x")).where(F.col("j") < F.col("size"))
-    return known.select("template", "label", "is_base", "size", "j", "x.key", F.col("x.gram").alias("template_gram"))
+    known = known.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    return known.select("template", "label", "is_base", "size", "j", rolled("h", F.col("j")).alias("key"), gram("w", F.col("j")).alias("template_gram"))
 
 
 def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str, str] | None = None, whole: dict[str, str] | None = None) -> DataFrame:
@@ -71,17 +69,20 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, notices: dict[str,
     diagonals whose cover of the template is at least COVER.
     """
     known = templates(docs.sparkSession, *(own if given is None else given for given, own in ((base, BASE), (notices, NOTICES), (whole, TEXTS))))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))
+    keys = sorted({r["key"] for r in known.select("key").collect()})  # of the templates: a fixed number
+    # Columns, not nested expressions, as a lambda's body is evaluated whole for each element.
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w")).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    places = F.filter(F.transform("h", lambda _, i: i), lambda i: rolled("h", i).isin(keys))  # a hash set's look-up for each window
+    window = lambda i: F.struct(i.alias("i"), rolled("h", i).alias("key"), gram("w", i).alias("gram"))
     # The first element stands for the document itself and matches nothing, so that each row has one that stays.
-    none = F.struct(F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("gram"))
-    grams = texts.select("doc_id", "mark", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(none), windows(F.col("w")))).alias("place", "x"))
-    grams = grams.select("doc_id", "mark", "n_words", "place", "x.key", "x.gram")
+    none = F.struct(F.lit(-1).alias("i"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("gram"))
+    grams = texts.select("doc_id", "mark", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(F.array(none), F.transform(places, window))).alias("x"))
+    grams = grams.select("doc_id", "mark", "n_words", "x.i", "x.key", "x.gram")
     same = (grams["key"] == known["key"]) & (grams["gram"] == known["template_gram"])
-    hits = grams.join(F.broadcast(known), same, "left").where("template is not null or place = 0")  # broadcast: a fixed size
+    hits = grams.join(F.broadcast(known), same, "left").where("template is not null or i < 0")  # broadcast: a fixed size
     row, span = ["doc_id", "mark"], ["template", "label", "is_base", "size"]
-    hits = hits.withColumn("i", F.col("place") - 1)
     votes = hits.groupBy(*row, *span, (F.col("i") - F.col("j")).alias("diagonal")).agg(
-        F.max("n_words").alias("n_words"), F.count_if(F.col("place") == 0).alias("rows"), F.collect_set("j").alias("seen"), F.min("i").alias("first"), F.max("i").alias("last")
+        F.max("n_words").alias("n_words"), F.count_if(F.col("i") < 0).alias("rows"), F.collect_set("j").alias("seen"), F.min("i").alias("first"), F.max("i").alias("last")
     )
     along = Window.partitionBy(*row, "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
