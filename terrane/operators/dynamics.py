@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.operators.shared import written
+from terrane.operators.shared import coin_p, ratio, written
 
 
 def transition_matrix(labels: DataFrame, first: int, last: int) -> DataFrame:
@@ -52,10 +52,10 @@ def persistent_moves(labels: DataFrame, run: int = 3) -> DataFrame:
 
 
 def flow_asymmetry(moves: DataFrame, least: int = 10) -> DataFrame:
-    """a, b, forward, backward for pairs of labels a < b with at least ``least`` moves both ways together."""
+    """a, b, forward, backward, p for pairs of labels a < b with at least ``least`` moves both ways together; p: of a fair coin."""
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
     found = moves.groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.count_if(F.col("a") < F.col("b")).alias("forward"), F.count_if(F.col("a") > F.col("b")).alias("backward"))
-    return found.where(F.col("forward") + F.col("backward") >= least).select(F.col("lo").alias("a"), F.col("hi").alias("b"), "forward", "backward")
+    return found.where(F.col("forward") + F.col("backward") >= least).select(F.col("lo").alias("a"), F.col("hi").alias("b"), "forward", "backward", coin_p(F.col("forward"), F.col("forward") + F.col("backward")).alias("p"))
 
 
 def consecutive_counts(labels: DataFrame) -> DataFrame:
@@ -65,6 +65,18 @@ def consecutive_counts(labels: DataFrame) -> DataFrame:
     return earlier.join(later, ["id", "window"]).groupBy("window", "a", "b").agg(F.count("*").alias("n"))
 
 
+def consecutive_ari(labels: DataFrame) -> DataFrame:
+    """window (the later one), ari of its labels against the window's before."""
+    counts = written(consecutive_counts(labels))
+    pairs = lambda n: n * (n - 1) / 2
+    both = counts.groupBy("window").agg(F.sum(pairs(F.col("n"))).alias("both"), F.sum("n").alias("all"))
+    for c in "ab":
+        side = counts.groupBy("window", c).agg(F.sum("n").alias("n")).groupBy("window").agg(F.sum(pairs(F.col("n"))).alias(f"in_{c}"))
+        both = both.join(side, "window")
+    expected, most = ratio(F.col("in_a") * F.col("in_b"), pairs(F.col("all"))), (F.col("in_a") + F.col("in_b")) / 2
+    return both.select("window", F.when(most == expected, 1.0).otherwise(F.try_divide(F.col("both") - expected, most - expected)).alias("ari"))
+
+
 def monic(labels: DataFrame, tau: float = 0.5, split: float = 0.25, delta: float = 0.05) -> DataFrame:
     """window, event, label, to, overlap, size_from, size_to, internal, absorbed: what becomes of each cluster in the next window.
 
@@ -116,19 +128,30 @@ def label_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def best_assignment(weights: list[list[float]]) -> list[int]:
-    """Column of each row in the one-to-one assignment of greatest total weight (square, up to about 16 rows), by subsets."""
+    """Column of each row in the one-to-one assignment of greatest total weight (square), by shortest augmenting paths: time by
+    the cube of the rows."""
     n = len(weights)
-    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+    row_price, price, row_of = [0.0] * n, [0.0] * (n + 1), [-1] * (n + 1)  # the last column is where a row's search begins
     for row in range(n):
-        step: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for used, (total, picks) in best.items():
+        row_of[n], at = row, n
+        slack, back, seen = [float("inf")] * n, [n] * n, [False] * (n + 1)
+        while row_of[at] >= 0:
+            seen[at], own = True, row_of[at]
             for c in range(n):
-                if not used >> c & 1:
-                    found = (total + weights[row][c], (*picks, c))
-                    if (old := step.get(used | 1 << c)) is None or found[0] > old[0]:
-                        step[used | 1 << c] = found
-        best = step
-    return list(best[(1 << n) - 1][1])
+                if not seen[c] and (cost := -weights[own][c] - row_price[own] - price[c]) < slack[c]:
+                    slack[c], back[c] = cost, at
+            to = min((c for c in range(n) if not seen[c]), key=slack.__getitem__)
+            step = slack[to]
+            for c in range(n + 1):
+                if seen[c]:
+                    row_price[row_of[c]] += step
+                    price[c] -= step
+                elif c < n:
+                    slack[c] -= step
+            at = to
+        while at != n:
+            row_of[at], at = row_of[back[at]], back[at]
+    return [row_of.index(row) for row in range(n)]
 
 
 def match_labels(reference: DataFrame, labels: DataFrame) -> DataFrame:

@@ -76,6 +76,20 @@ def window_level(cells: DataFrame, length: int, step: int) -> DataFrame:
     return x.groupBy("window", "entity").agg(F.avg("x").alias("level"), F.stddev_pop("x").alias("season_amp"))
 
 
+def window_features(cells: DataFrame, length: int, step: int, high: list[int], category: str) -> DataFrame:
+    """window, entity, block, feature, value: in each sliding window the level, the profile of each category, and the season's
+    amplitude and means in the months ``high``, of the total and of one category, relative to the window's own mean."""
+    in_high = lambda x: F.avg(F.when(F.month("period").isin(high), x)) - F.avg(x)
+    total = windows(log_total(cells), length, step).groupBy("window", "entity")
+    total = total.agg(F.avg("x").alias("level"), F.stddev_pop("x").alias("season_amp"), in_high(F.col("x")).alias("high_all"))
+    ratios = windows(centred(log_ratios(cells), ["period", "category"]), length, step).groupBy("window", "entity", "category").agg(F.avg("x").alias("value"))
+    one = centred(cells.where(F.col("category") == category).select("entity", "period", F.ln("value").alias("x")), ["period"])
+    one = windows(one, length, step).groupBy("window", "entity").agg(in_high(F.col("x")).alias("high_category"))
+    each = total.join(one, ["window", "entity"], "left").unpivot(["window", "entity"], ["level", "season_amp", "high_all", "high_category"], "feature", "value")
+    each = each.select("window", "entity", F.when(F.col("feature") == "level", "level").otherwise("season").alias("block"), "feature", "value")
+    return each.union(ratios.select("window", "entity", F.lit("profile"), "category", "value"))
+
+
 def fit_scaler(long: DataFrame, block_weights: dict[str, float]) -> DataFrame:
     """feature, block, center (median), scale (interquartile range; sample deviation where that is 0), weight.
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.operators.shared import row_numbers, written
+from terrane.operators.shared import coin_p, row_numbers, written
 
 TILE = 2048  # vectors of a block; a tile is a block against a block
 PLACES = 9  # digits by which similarities are compared, so that ties don't depend on the order of sums
@@ -155,6 +155,17 @@ def diagnostics(edges: DataFrame, labelled: DataFrame) -> DataFrame:
     return found.crossJoin(F.broadcast(n)).select("edges", (2 * F.col("edges") / F.col("n")).alias("mean_degree"), "same_label_share")  # one row each
 
 
+def graph_report(edges: DataFrame, points: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: diagnostics of a graph over points (id, vec, label), its components, the largest one's share of the nodes, the mean
+    homophily of vec's places and the median of known (src, dst, x) over edges."""
+    size = components(edges, points).groupBy("component").agg(F.count("*").alias("n"))
+    size = size.agg(F.count("*").alias("components"), (F.max("n") / F.sum("n")).alias("largest_share"))
+    long = points.select(F.col("id").alias("entity"), F.posexplode("vec").alias("feature", "value"))
+    alike = homophily(edges, long).agg(F.avg("homophily").alias("homophily"))
+    length = upper(edges).join(known, ["src", "dst"]).agg(F.median("x").alias("median_length"))
+    return diagnostics(edges, points.select("id", "label")).crossJoin(size).crossJoin(alike).crossJoin(length)  # one row each
+
+
 def homophily(edges: DataFrame, long: DataFrame) -> DataFrame:
     """feature, homophily: correlation of the values at the ends of edges; long: entity, feature, value. Null where constant."""
     a, b = (long.select(F.col("entity").alias(e), "feature", F.col("value").alias(f"v_{e}")) for e in ("src", "dst"))
@@ -206,6 +217,15 @@ def best_lag(correlations: DataFrame) -> DataFrame:
     return correlations.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 
 
+def lead_shares(lags: DataFrame, groups: DataFrame) -> DataFrame:
+    """a, b, edges, lagged, share, p for groups a < b of groups (id, label): edges between them, those whose best lag isn't 0, the
+    share of these in which a's end leads, and how likely a fair coin strays so far. lags: src, dst, lag; lag > 0: src leads."""
+    ends = lags.join(groups.select(F.col("id").alias("src"), F.col("label").alias("x")), "src").join(groups.select(F.col("id").alias("dst"), F.col("label").alias("y")), "dst")
+    ends = ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("lag")).otherwise(-F.col("lag")).alias("lag"))
+    found = ends.groupBy("a", "b").agg(F.count("*").alias("edges"), F.count_if(F.col("lag") != 0).alias("lagged"), F.count_if(F.col("lag") > 0).alias("lead"))
+    return found.select("a", "b", "edges", "lagged", F.try_divide("lead", "lagged").alias("share"), F.when(F.col("lagged") > 0, coin_p(F.col("lead"), F.col("lagged"))).alias("p"))
+
+
 def lag_null(edges: DataFrame, series: DataFrame, most: int, reps: int, seed: int = 42) -> DataFrame:
     """rep, share_lagged: share of edges whose best lag isn't 0 when dst's series is shifted cyclically by a drawn amount."""
     length = series.agg((F.max("t") + 1).alias("length"))

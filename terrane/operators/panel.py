@@ -55,8 +55,3 @@ def spread_categories(cells: DataFrame, categories: list[str]) -> DataFrame:
     """Wide form: entity, period and a column for each of the categories given."""
     return cells.groupBy("entity", "period").pivot("category", categories).agg(F.min("value"))
 
-
-def lines(cells: DataFrame) -> DataFrame:
-    """entity, and its series as one array ordered by period and category."""
-    row = F.array_sort(F.collect_list(F.struct("period", "category", "value")))
-    return cells.groupBy("entity").agg(F.transform(row, lambda x: x["value"]).alias("vec"))

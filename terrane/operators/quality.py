@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.operators.shared import ratio, row_numbers, squared_distance
+from terrane.operators.shared import ratio, row_numbers, squared_distance, written
 
 
 def block_matrix(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -63,7 +66,9 @@ def s_dbw(points: DataFrame) -> DataFrame:
     a = own.select(F.col("label").alias("p"), F.col("centre").alias("c_p"))
     b = own.select(F.col("label").alias("q"), F.col("centre").alias("c_q"))
     middle = a.crossJoin(b).where("p <= q").select("p", "q", F.zip_with("c_p", "c_q", lambda x, y: (x + y) / 2).alias("mid"))  # clusters only
-    near = points.join(F.broadcast(middle), (F.col("label") == F.col("p")) | (F.col("label") == F.col("q"))).crossJoin(F.broadcast(radius))
+    # A point is near the middles of its own cluster with each, so two equal-joins do: as p, and as q of another p.
+    sides = middle.withColumn("label", F.col("p")).union(middle.where("p < q").withColumn("label", F.col("q")))
+    near = points.join(sides, "label").crossJoin(F.broadcast(radius))  # one row
     inside = F.count_if(F.sqrt(squared_distance("vec", "mid")) <= F.col("radius"))
     counts = near.groupBy("p", "q").agg(inside.alias("inside"))
     single = counts.where("p = q")
@@ -75,23 +80,50 @@ def s_dbw(points: DataFrame) -> DataFrame:
     return row.select(scat.alias("Scat"), bw.alias("Dens_bw"), (scat + bw).alias("S_Dbw"), "zero_density")
 
 
-def silhouettes(points: DataFrame, tiles: int = 8) -> DataFrame:
+def silhouettes(points: DataFrame, tile: int = 2048) -> DataFrame:
     """id, label, s: Euclidean silhouettes of points (id, vec, label); singletons get 0.
 
-    Distances are summed by cluster inside the join of tiles, so n * clusters rows leave it, not n * n.
+    Blocks of points meet in tiles, each a matrix of distances of bounded size that is summed by cluster at once, so only
+    n * clusters * blocks rows leave the tiles.
     """
-    other = points.select(F.col("vec").alias("w"), F.col("label").alias("to"), F.col("id").alias("other"))
-    dealt = points.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)))
-    met = dealt.join(other.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))), "tile")
-    sums = met.groupBy("id", "label", "to").agg(F.sum(F.sqrt(squared_distance("vec", "w"))).alias("d"), F.count("*").alias("n"))
-    own = F.max(F.when(F.col("label") == F.col("to"), ratio(F.col("d"), F.col("n") - 1)))
+    blocks = max(1, -(-points.count() // tile))
+    own, each = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = points.select("id", "label", F.col("vec").alias("x"), own.alias("block"), each.alias("other"))
+    right = points.select(F.col("id").alias("of"), F.col("label").alias("to"), F.col("vec").alias("y"), each.alias("block"), own.alias("other"))
+    kind = points.schema["label"].dataType.simpleString()
+
+    def summed(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"id": a.column("id").slice(0, 0), "label": a.column("label").slice(0, 0), "to": b.column("to").slice(0, 0), "d": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
+        x, y = (np.stack(t.column(c).to_numpy(zero_copy_only=False)).astype(float) for t, c in ((a, "x"), (b, "y")))
+        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0))
+        d[a.column("id").to_numpy()[:, None] == b.column("of").to_numpy()[None, :]] = 0
+        names = pc.dictionary_encode(b.column("to").combine_chunks())
+        at, k = names.indices.to_numpy(), len(names.dictionary)
+        total = d @ (at[:, None] == np.arange(k)[None, :])
+        rows = pa.array(np.repeat(np.arange(len(a)), k))
+        return pa.table({"id": a.column("id").take(rows), "label": a.column("label").take(rows), "to": names.dictionary.take(pa.array(np.tile(np.arange(k), len(a)))), "d": total.ravel(), "n": np.tile(np.bincount(at, minlength=k), len(a))})
+
+    tiles = left.groupBy("block", "other").cogroup(right.groupBy("block", "other"))
+    tiles = tiles.applyInArrow(summed, f"id {points.schema['id'].dataType.simpleString()}, label {kind}, to {kind}, d double, n long")
+    sums = tiles.groupBy("id", "label", "to").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    inside = F.max(F.when(F.col("label") == F.col("to"), ratio(F.col("d"), F.col("n") - 1)))
     size = F.max(F.when(F.col("label") == F.col("to"), F.col("n")))
     rest = F.min(F.when(F.col("label") != F.col("to"), F.col("d") / F.col("n")))
-    found = sums.groupBy("id", "label").agg(own.alias("a"), rest.alias("b"), size.alias("size"))
+    found = sums.groupBy("id", "label").agg(inside.alias("a"), rest.alias("b"), size.alias("size"))
     s = F.when(F.col("size") == 1, 0.0).otherwise(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")))
     return found.select("id", "label", s.alias("s"))
 
 
+def all_indices(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: SW (mean silhouette), CH, Scat, Dens_bw, S_Dbw and the graph's AVI, AVU, ANUI, MQ of points (id, vec, label)."""
+    parts = (silhouettes(points).agg(F.avg("s").alias("SW")), calinski_harabasz(points).select("CH"), s_dbw(points).drop("zero_density"), graph_indices(edges, points.select("id", "label")))
+    row = parts[0]
+    for part in parts[1:]:
+        row = row.crossJoin(part)  # one row each
+    return row
+
+
 def contingency(labels: DataFrame, a: str, b: str) -> DataFrame:
     return labels.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
 
@@ -152,11 +184,6 @@ def permutation_baseline(edges: DataFrame, labels: DataFrame, reps: int, seed: i
     return each.agg(F.avg("q").alias("MQ_mean"), F.stddev_pop("q").alias("MQ_sd"))
 
 
-def signed_z(value, mean, sd, direction: int):
-    """Distance from a null in its deviations, positive where better; null where the deviation is 0."""
-    return direction * F.try_divide(value - mean, F.nullif(sd, F.lit(0.0)))
-
-
 def subsamples(points: DataFrame, reps: int, share: float, seed: int = 42) -> DataFrame:
     """rep, and points: in each repeat exactly floor(share n) of them, without replacement."""
     size = int(points.count() * share)
@@ -170,7 +197,7 @@ def bootstrap_ari(points: DataFrame, full: DataFrame, fit, reps: int = 20, share
 
     The driver loops over repeats, as a fit is a plan of its own.
     """
-    drawn, out = subsamples(points, reps, share, seed), None
+    drawn, out = written(subsamples(points, reps, share, seed)), None
     for rep in range(reps):
         again = fit(drawn.where(F.col("rep") == rep).drop("rep")).withColumnRenamed("label", "again")
         one = adjusted_rand(contingency(again.join(full, "id"), "label", "again")).withColumn("rep", F.lit(rep))

@@ -38,19 +38,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def vector(columns: list[str]):
-    """Columns as one array of doubles."""
-    return F.array(*(F.col(c).cast("double") for c in columns))
-
-
-def dot(x: str, y: str):
-    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def squared_distance(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
 
 
+def coin_p(k, n):
+    """Two-sided exact binomial test at one half: twice the lesser tail, 1 where it is the middle. Terms go by logarithms."""
+    least = F.least(k, n - k)
+    start = F.struct((n * F.lit(-0.6931471805599453)).cast("double").alias("log"), F.lit(0.0).alias("sum"))
+    term = lambda acc, i: acc["log"] + F.when(i > 0, F.ln((n - i + 1) / F.greatest(i, F.lit(1)))).otherwise(0.0)
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), least.cast("long")), start, lambda acc, i: F.struct(term(acc, i).alias("log"), (acc["sum"] + F.exp(term(acc, i))).alias("sum")), lambda acc: acc["sum"])
+    return F.when(2 * least >= n, 1.0).otherwise(F.least(2 * tail, F.lit(1.0)))
+
+
 def mean_rank(order, *group: str):
     """Rank with ties at their mean, from 1."""
     from pyspark.sql import Window

@@ -79,6 +79,12 @@ def wrapped(body: str, select: str, doubles: str = "", prefix: str = "") -> str:
     return f"{'with ' + prefix if prefix else ''} select {out} from ({body}) as result"
 
 
+def coin_sql(k: str, n: str) -> str:
+    """The two-sided binomial test at one half; the terms' logarithms by lgamma."""
+    return f"""case when 2 * least({k}, {n} - ({k})) >= {n} then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, least({k}, {n} - ({k})) + 1),
+      lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - ({n}) * ln(2))))) end"""
+
+
 def query(make):
     """Doubles rounded, so that the order of sums doesn't show."""
 

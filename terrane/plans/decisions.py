@@ -9,8 +9,8 @@ from terrane.functions import decimal_comma, digits_key, name_key, padded
 from terrane.operators import dynamics, panel, validate, voting
 from terrane.operators.quality import eta_squared
 from terrane.operators.shared import written
-from terrane.plans.common import WINDOWS, query, window_labels, wrapped
-from terrane.sources import Settings, table
+from terrane.plans.common import WINDOWS, coin_sql, query, window_labels, wrapped
+from terrane.sources import table
 from terrane.streaming import drained, event_stream, sessions, windowed
 
 QUERIES, SQL = {}, {}
@@ -120,9 +120,23 @@ add(
 add(
     "flow_asymmetry",
     lambda s, d: dynamics.flow_asymmetry(dynamics.confident_moves(window_labels(s, d), 0, 3, 0.0), 2),
-    f"""with {WINDOWS} select least(x.label, y.label) as a, greatest(x.label, y.label) as b, count(*) filter (where x.label < y.label) as forward, count(*) filter (where x.label > y.label) as backward
-    from wl x join wl y using (id) where x."window" = 0 and y."window" = 3 and x.label <> y.label group by 1, 2 having count(*) >= 2""",
-)
+    wrapped(
+        f"""select *, {coin_sql('forward', 'forward + backward')} as p from (select least(x.label, y.label) as a, greatest(x.label, y.label) as b, count(*) filter (where x.label < y.label) as forward, count(*) filter (where x.label > y.label) as backward
+        from wl x join wl y using (id) where x."window" = 0 and y."window" = 3 and x.label <> y.label group by 1, 2 having count(*) >= 2)""",
+        "a, b, forward, backward", "p", WINDOWS,
+    ),
+)
+add(
+    "consecutive_ari",
+    lambda s, d: dynamics.consecutive_ari(window_labels(s, d)),
+    wrapped(
+        """select "window", (x - pa * pb / tt) / ((pa + pb) / 2 - pa * pb / tt) as ari from (select "window", sum(n * (n - 1) / 2) as x, sum(n) * (sum(n) - 1) / 2 as tt from counts group by 1)
+        join (select "window", sum(n * (n - 1) / 2) as pa from (select "window", a, sum(n) as n from counts group by 1, 2) group by 1) using ("window")
+        join (select "window", sum(n * (n - 1) / 2) as pb from (select "window", b, sum(n) as n from counts group by 1, 2) group by 1) using ("window")""",
+        '"window"', "ari",
+        f"""{WINDOWS}, counts as (select y."window", x.label as a, y.label as b, count(*) as n from wl x join wl y on y.id = x.id and y."window" = x."window" + 1 group by 1, 2, 3)""",
+    ),
+)
 MONIC = f"""{WINDOWS}, counts as (select y."window", x.label as a, y.label as b, count(*) as n from wl x join wl y on y.id = x.id and y."window" = x."window" + 1 group by 1, 2, 3),
 over_ as (select *, n / sum(n) over (partition by "window", a) as overlap, sum(n) over (partition by "window", a) as size_from, sum(n) over (partition by "window", b) as size_to from counts),
 strong as (select *, row_number() over (partition by "window", a order by overlap desc, b) as place, count(*) over (partition by "window", b) as takers from over_ where overlap >= 0.5),
@@ -313,18 +327,22 @@ def _shared(spark) -> str:
 add(
     "stream_windows",
     lambda s, d: drained(windowed(event_stream(s, d)), _shared(s)),
-    wrapped("select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as events, sum(value) as total from events group by 1, 2", "window_start, event_type, events", "total"),
+    wrapped(
+        """select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as events, sum(value) as total from events group by 1, 2
+        having date_trunc('day', ts)::timestamp + interval 1 day <= (select max(ts) - interval 1 hour from events)""",
+        "window_start, event_type, events", "total",
+    ),
 )
 add(
     "stream_sessions",
     lambda s, d: drained(sessions(event_stream(s, d)), _shared(s)).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("events").alias("most")),
-    """select user_id, count(*) as sessions, max(n) as most from (select user_id, s, count(*) as n from (
+    """select user_id, count(*) as sessions, max(n) as most from (select user_id, s, count(*) as n, max(ts) as last_ts from (
       select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from (
-      select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as fresh from events)) group by 1, 2) group by 1""",
+      select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as fresh from events)) group by 1, 2)
+      where last_ts + interval 30 minutes <= (select max(ts) - interval 1 hour from events) group by 1""",
 )
 add(
     "event_ranks",
     lambda s, d: table(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).withColumn("place", F.rank().over(Window.partitionBy("user_id").orderBy(F.desc("n")))),
     "select user_id, event_type, count(*) as n, rank() over (partition by user_id order by count(*) desc) as place from events group by 1, 2",
 )
-DEFAULTS = Settings()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.operators import clustering, explain, features, graphs, quality
 from terrane.operators.shared import written
-from terrane.plans.common import POINTS, complete, graph, knn, labels, points, query, wrapped
+from terrane.plans.common import POINTS, coin_sql, complete, graph, knn, labels, points, query, wrapped
 from terrane.plans.panels import SERIES
 from terrane.sources import table
 
@@ -46,10 +46,11 @@ add("knn_dtw", lambda s, d: graphs.build_graph("dtw", 5, _lines(s, d), channels=
 
 
 def _known(s, d):
-    """Distances by id between embeddings of one label, as a table of known distances."""
+    """Distances by id between embeddings of one label up to 40 ids apart, as a table of known distances."""
     own = labels(s, d)
-    a, b = own.select(F.col("id").alias("src"), "label"), own.select(F.col("id").alias("dst"), "label")
-    return a.join(b, "label").where("src < dst and dst - src <= 40").select("src", "dst", (F.col("dst") - F.col("src")).cast("double").alias("x"))
+    a = own.select(F.col("id").alias("src"), "label", F.explode(F.sequence(F.col("id") + 1, F.col("id") + 40)).alias("dst"))
+    b = own.select(F.col("id").alias("dst"), "label")
+    return a.join(b, ["dst", "label"]).select("src", "dst", (F.col("dst") - F.col("src")).cast("double").alias("x"))
 
 
 add(
@@ -76,14 +77,14 @@ add(
 
 
 def _long(s, d):
-    return points(s, d).select(F.col("id").alias("entity"), F.posexplode("vec").alias("feature", "value")).where("feature < 8")
+    return points(s, d).select(F.col("id").alias("entity"), F.posexplode("vec").alias("feature", "value"))
 
 
 add(
     "graph_homophily",
     lambda s, d: graphs.homophily(graph(s, d), _long(s, d)),
     wrapped(
-        "select feature, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) as homophily from (select cast(f as integer) as feature, a.vec[f + 1] as x, b.vec[f + 1] as y from g join points a on a.id = src join points b on b.id = dst, range(8) r(f) where src < dst) group by 1",
+        "select feature, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) as homophily from (select cast(f as integer) as feature, a.vec[f + 1] as x, b.vec[f + 1] as y from g join points a on a.id = src join points b on b.id = dst, range(64) r(f) where src < dst) group by 1",
         "feature", "homophily", G,
     ),
 )
@@ -125,24 +126,45 @@ add(
         "", 'between, within, "CH"', CENTRES,
     ).replace("between", '"between"'),
 )
+DENSITY = f"""{CENTRES}, whole as (select sqrt(sum(v * v)) as whole from (select var_pop(x) as v from long group by f)),
+radius as (select sqrt(sum(var_norm)) / count(*) as radius, avg(var_norm) as mean_norm, count(*) as k from centres),
+middle as (select a.label as p, b.label as q, list_transform(list_zip(a.centre, b.centre), lambda z: (z[1] + z[2]) / 2) as mid from centres a join centres b on a.label <= b.label),
+counts as (select p, q, count(*) filter (where list_distance(vec, mid) <= radius) as inside from middle join points on label = p or label = q, radius group by 1, 2),
+single as (select * from counts where p = q),
+dens as (select 2 * sum(coalesce(c.inside / nullif(greatest(x.inside, y.inside), 0), 0)) as dens from counts c join single x on x.p = c.p join single y on y.q = c.q where c.p < c.q),
+zero as (select count(*) filter (where inside = 0) as zero_density from single),
+sdbw as (select mean_norm / whole as "Scat", coalesce(dens, 0) / (k * (k - 1)) as "Dens_bw", mean_norm / whole + coalesce(dens, 0) / (k * (k - 1)) as "S_Dbw", zero_density from radius, whole, dens, zero)"""
+add("s_dbw", lambda s, d: quality.s_dbw(points(s, d)), wrapped("select * from sdbw", "zero_density", '"Scat", "Dens_bw", "S_Dbw"', DENSITY))
+SIL = f"""{POINTS}, d as (select a.id, a.label, b.label as tol, sum(list_distance(a.vec, b.vec)) as d, count(*) as n from points a, points b group by 1, 2, 3),
+sil as (select id, label, max(case when label = tol then d / nullif(n - 1, 0) end) as a, min(case when label <> tol then d / n end) as b, max(case when label = tol then n end) as size from d group by 1, 2)"""
+add("silhouette", lambda s, d: quality.silhouettes(points(s, d)), wrapped("select id, label, case when size = 1 then 0 else coalesce((b - a) / nullif(greatest(a, b), 0), 0) end as s from sil", "id, label", "s", SIL))
+
+
+BUNDLE = f"""{INDICES}, {DENSITY[len(POINTS) + 2:]}, {SIL[len(POINTS) + 2:]}, chs as (select sum(bb) * (max(n) - max(k)) / (sum(ww) * (max(k) - 1)) as "CH" from (
+  select f, sum(n * v) as ww, sum(n * c * c) - pow(sum(n * c), 2) / sum(n) as bb, sum(n) as n, count(*) as k from own group by 1))"""
 add(
-    "s_dbw",
-    lambda s, d: quality.s_dbw(points(s, d)),
+    "all_indices",
+    lambda s, d: quality.all_indices(points(s, d), graph(s, d)),
     wrapped(
-        """select mean_norm / whole as "Scat", coalesce(dens, 0) / (k * (k - 1)) as "Dens_bw", mean_norm / whole + coalesce(dens, 0) / (k * (k - 1)) as "S_Dbw", zero_density from radius, whole, dens, zero""",
-        "zero_density", '"Scat", "Dens_bw", "S_Dbw"',
-        f"""{CENTRES}, whole as (select sqrt(sum(v * v)) as whole from (select var_pop(x) as v from long group by f)),
-        radius as (select sqrt(sum(var_norm)) / count(*) as radius, avg(var_norm) as mean_norm, count(*) as k from centres),
-        middle as (select a.label as p, b.label as q, list_transform(list_zip(a.centre, b.centre), lambda z: (z[1] + z[2]) / 2) as mid from centres a join centres b on a.label <= b.label),
-        counts as (select p, q, count(*) filter (where list_distance(vec, mid) <= radius) as inside from middle join points on label = p or label = q, radius group by 1, 2),
-        single as (select * from counts where p = q),
-        dens as (select 2 * sum(coalesce(c.inside / nullif(greatest(x.inside, y.inside), 0), 0)) as dens from counts c join single x on x.p = c.p join single y on y.q = c.q where c.p < c.q),
-        zero as (select count(*) filter (where inside = 0) as zero_density from single)""",
+        """select sw as "SW", "CH", "Scat", "Dens_bw", "S_Dbw", "AVI", "AVU", "ANUI", "MQ"
+        from (select avg(case when size = 1 then 0 else coalesce((b - a) / nullif(greatest(a, b), 0), 0) end) as sw from sil), chs, sdbw, indices""",
+        "", '"SW", "CH", "Scat", "Dens_bw", "S_Dbw", "AVI", "AVU", "ANUI", "MQ"', BUNDLE,
     ),
 )
-SIL = f"""{POINTS}, d as (select a.id, a.label, b.label as tol, sum(list_distance(a.vec, b.vec)) as d, count(*) as n from points a, points b group by 1, 2, 3),
-sil as (select id, label, max(case when label = tol then d / nullif(n - 1, 0) end) as a, min(case when label <> tol then d / n end) as b, max(case when label = tol then n end) as size from d group by 1, 2)"""
-add("silhouette", lambda s, d: quality.silhouettes(points(s, d)), wrapped("select id, label, case when size = 1 then 0 else coalesce((b - a) / nullif(greatest(a, b), 0), 0) end as s from sil", "id, label", "s", SIL))
+add(
+    "graph_report",
+    lambda s, d: graphs.graph_report(graph(s, d, 2), points(s, d), _known(s, d)),
+    "with recursive " + wrapped(
+        """select (select count(*) from ends where src < dst) as edges, (select 2.0 * count(*) from ends where src < dst) / (select count(*) from points) as mean_degree,
+        (select avg(case when la = lb then 1.0 else 0.0 end) from ends where src < dst) as same_label_share, (select count(*) from sizes) as components, (select max(n) / sum(n) from sizes) as largest_share,
+        (select avg(h) from (select covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) as h from (select f, a.vec[f + 1] as x, b.vec[f + 1] as y from g join points a on a.id = src join points b on b.id = dst, range(64) r(f) where src < dst) group by f)) as homophily,
+        (select median(dst - src) from ends where src < dst and la = lb and dst - src <= 40) as median_length""",
+        "edges, components", "mean_degree, same_label_share, largest_share, homophily, median_length",
+        f"""{POINTS}, {knn(2, 'g')}, ends as (select g.*, a.label as la, b.label as lb from g join points a on a.id = src join points b on b.id = dst),
+        reach(id, other) as (select id, id from points union select reach.id, dst from reach join g on src = other),
+        sizes as (select component, count(*) as n from (select id, min(other) as component from reach group by 1) group by 1)""",
+    ).removeprefix("with "),
+)
 
 
 def _two(s, d):
@@ -219,21 +241,17 @@ def _combined(s, d):
 
 
 add("kefrin_step", _combined, wrapped("select id, arg_min(label, d) as label, min(d) as d from dist group by 1", "id, label", "d", NET))
-add("kefrin_labels", lambda s, d: clustering.kefrin(points(s, d), written(graph(s, d)), 6, steps=4))
-add("warm_labels", lambda s, d: clustering.warm_kmeans(points(s, d), labels(s, d), 4))
-add("community_labels", lambda s, d: clustering.communities(written(graph(s, d)), points(s, d), steps=6))
+add("kefrin_labels", lambda s, d: clustering.kefrin(points(s, d), written(graph(s, d)), 6))
+add("warm_labels", lambda s, d: clustering.warm_kmeans(points(s, d), labels(s, d)))
+add("community_labels", lambda s, d: clustering.communities(written(graph(s, d)), points(s, d)))
 add("ward_labels", lambda s, d: clustering.ward(points(s, d), 6))
 add("gmm_labels", lambda s, d: clustering.mixture(points(s, d), 4))
 add("spectral_labels", lambda s, d: clustering.spectral(graph(s, d), graph(s, d, 10), 4))
-add("permutation_baseline", lambda s, d: quality.permutation_baseline(graph(s, d), labels(s, d), 20))
+add("permutation_baseline", lambda s, d: quality.permutation_baseline(graph(s, d), labels(s, d), 50))
 add("bootstrap_ari", lambda s, d: quality.bootstrap_ari(points(s, d), labels(s, d), lambda p: clustering.lloyd(p, _start(s, d), 2).select("id", "label"), 3))
 
 
-def _six(s, d):
-    return points(s, d).where("label < 6").withColumn("vec", F.slice("vec", 1, 6))
-
-
-SPLIT = f"""points as (select vec_id as id, cast(embedding as double[])[1:6] as vec, cast(label as integer) as label from embeddings where label < 6),
+SPLIT = f"""{POINTS},
 long as (select id, label, unnest(vec) as x, generate_subscripts(vec, 1) - 1 as f from points),
 own as (select label, f, avg(x) as c from long group by 1, 2),
 lim as (select f, min(c) as lo, max(c) as hi from own group by 1),
@@ -242,7 +260,7 @@ marks as (select f, v, sum(d) as d from ends group by 1, 2),
 cand as (select f, v, sum(d) over (partition by f order by v) as mistakes, (v + lead(v) over (partition by f order by v)) / 2 as theta from marks)"""
 add(
     "imm_best_split",
-    lambda s, d: explain.split_candidates(_six(s, d), quality.centres(_six(s, d))).groupBy("f").agg(F.min("mistakes").alias("mistakes"), F.count("*").alias("candidates")),
+    lambda s, d: explain.split_candidates(points(s, d), quality.centres(points(s, d))).groupBy("f").agg(F.min("mistakes").alias("mistakes"), F.count("*").alias("candidates")),
     f"with {SPLIT} select cast(f as integer) as f, cast(min(mistakes) as bigint) as mistakes, count(*) as candidates from cand join lim using (f) where theta >= lo and theta < hi group by 1",
 )
 add("imm_tree", lambda s, d: explain.tree_table(s, explain.threshold_tree(written(points(s, d)))))
@@ -260,7 +278,7 @@ add(
     and a.vec[1] <= b.vec[1] + 0.02 and b.vec[1] <= a.vec[1] + 0.02 and a.vec[2] <= b.vec[2] + 0.02 and b.vec[2] <= a.vec[2] + 0.02""",
 )
 add("same_label_share", lambda s, d: graphs.same_share(graphs.upper(graph(s, d)), labels(s, d)), wrapped("select count(*) as pairs, avg(case when la = lb then 1.0 else 0.0 end) as same from ends where src < dst", "pairs", "same", ENDS))
-add("join_count", lambda s, d: graphs.join_count(graphs.upper(graph(s, d)), labels(s, d), 20))
+add("join_count", lambda s, d: graphs.join_count(graphs.upper(graph(s, d)), labels(s, d), 200))
 LAGS = f"""{SERIES}, numbered as (select period, row_number() over (order by period) - 1 as t from (select distinct period from series)),
 ts as (select entity, t, channel, x from series join numbered using (period)),
 pairs as (select distinct a.entity as src, b.entity as dst from ts a join ts b on b.entity = a.entity + 1),
@@ -286,10 +304,25 @@ add(
     lambda s, d: graphs.best_lag(graphs.lag_correlation(_neighbours(s, d), _numbered(s, d), 3).withColumn("r", F.round("r", 9))).groupBy("lag").agg(F.count("*").alias("edges")),
     f"with {LAGS} select lag, count(*) as edges from (select *, row_number() over (partition by src, dst order by round(r, 9) desc, lag) as place from lagged) where place = 1 group by 1",
 )
-add("lag_null", lambda s, d: graphs.lag_null(_neighbours(s, d), _numbered(s, d), 3, 3))
+add(
+    "lead_shares",
+    lambda s, d: graphs.lead_shares(
+        graphs.best_lag(graphs.lag_correlation(_neighbours(s, d), _numbered(s, d), 3).withColumn("r", F.round("r", 9))),
+        table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("n_regionkey").cast("int").alias("label")),
+    ),
+    wrapped(
+        f"""select a, b, edges, lagged, lead / nullif(lagged, 0) as share, case when lagged > 0 then {coin_sql('lead', 'lagged')} end as p from (
+        select least(x.r, y.r) as a, greatest(x.r, y.r) as b, count(*) as edges, count(*) filter (where lag <> 0) as lagged, count(*) filter (where case when x.r < y.r then lag > 0 else lag < 0 end) as lead
+        from best join groups x on x.id = src join groups y on y.id = dst where x.r <> y.r group by 1, 2)""",
+        "a, b, edges, lagged", "share, p",
+        f"""{LAGS}, best as (select * from (select *, row_number() over (partition by src, dst order by round(r, 9) desc, lag) as place from lagged) where place = 1),
+        groups as (select s_suppkey as id, cast(n_regionkey as integer) as r from supplier join nation on s_nationkey = n_nationkey)""",
+    ),
+)
+add("lag_null", lambda s, d: graphs.lag_null(_neighbours(s, d), _numbered(s, d), 3, 20))
 add("subsample_sizes", lambda s, d: quality.subsamples(labels(s, d), 4, 0.8).groupBy("rep").agg(F.count("*").alias("n")), f"with {POINTS} select rep, cast(floor((select count(*) from points) * 0.8) as bigint) as n from range(4) r(rep)")
 add(
     "scatter_share",
-    lambda s, d: clustering.scatter_share(points(s, d).withColumn("vec", F.slice("vec", 1, 8)), {"first": [0, 1, 2], "rest": [3, 4, 5, 6, 7]}),
-    wrapped("select case when f < 3 then 'first' else 'rest' end as block, sum(v) / sum(sum(v)) over () as share from (select f, var_pop(x) as v from long where f < 8 group by 1) group by 1", "block", "share", CENTRES),
+    lambda s, d: clustering.scatter_share(points(s, d), {"first": [*range(24)], "rest": [*range(24, 64)]}),
+    wrapped("select case when f < 24 then 'first' else 'rest' end as block, sum(v) / sum(sum(v)) over () as share from (select f, var_pop(x) as v from long group by 1) group by 1", "block", "share", CENTRES),
 )

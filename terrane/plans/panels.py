@@ -77,6 +77,23 @@ add(
 )
 
 
+add(
+    "window_features",
+    lambda s, d: features.window_features(written(complete(s, d)), 12, 1, HIGH, "R"),
+    wrapped(
+        """select "window", entity, case feature when 'level' then 'level' else 'season' end as block, feature, value from (
+          select "window", entity, unnest(['level', 'season_amp', 'high_all', 'high_category']) as feature, unnest([level, season_amp, high_all, high_category]) as value from wt left join wo using ("window", entity))
+        union all select s, entity, 'profile', category, avg(x) from rel join numbered using (period) join starts on t between s and s + 11 group by 1, 2, 4""",
+        '"window", entity, block, feature', "value",
+        f"""{CLR}, numbered as (select period, row_number() over (order by period) - 1 as t from (select distinct period from whole)),
+        starts as (select unnest(range(0, (select max(t) - 11 + 1 from numbered), 1)) as s),
+        one0 as (select entity, period, x - median(x) over (partition by period) as x from logs where category = 'R'),
+        wt as (select s as "window", entity, avg(x) as level, stddev_pop(x) as season_amp, avg(x) filter (where month(period) in (4, 7)) - avg(x) as high_all from total join numbered using (period) join starts on t between s and s + 11 group by 1, 2),
+        wo as (select s as "window", entity, avg(x) filter (where month(period) in (4, 7)) - avg(x) as high_category from one0 join numbered using (period) join starts on t between s and s + 11 group by 1, 2)""",
+    ),
+)
+
+
 def long_features(s, d):
     """entity, block, feature, value; the panel is written first, as five scans of the facts cost more."""
     full = written(complete(s, d))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import bin_of
 from terrane.operators import features, graphs, panel, quality
-from terrane.operators.shared import squared_distance
+from terrane.operators.shared import squared_distance, written
 from terrane.plans.common import CELLS, POINTS, WINDOWS, complete, graph, knn, points, query, window_labels, wrapped
 from terrane.plans.networks import CENTRES, ENDS
 from terrane.plans.panels import UNITS
@@ -165,8 +165,10 @@ add("search_names", _search, "select n_nationkey, n_name, case when n_name = 'NA
 def _peers(s, d):
     """For each entity the entities of its region within 5 % of its spend."""
     spend = panel.totals(complete(s, d)).groupBy("entity").agg(F.avg("total").alias("spend")).join(_segments(s, d), "entity")
-    other = spend.select("region", F.col("entity").alias("peer"), F.col("spend").alias("peer_spend"))
-    near = spend.join(other, "region").where("entity <> peer and peer_spend between spend * 0.95 and spend * 1.05")
+    # Steps of a tenth in logarithm: whoever is within 5 % is in the same step or one next to it.
+    spend = spend.withColumn("step", F.floor(F.ln("spend") * 10))
+    other = spend.select("region", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), F.col("entity").alias("peer"), F.col("spend").alias("peer_spend"))
+    near = spend.join(other, ["region", "step"]).where("entity <> peer and peer_spend between spend * 0.95 and spend * 1.05")
     return near.groupBy("entity").agg(F.count("*").alias("peers"), F.min("peer").alias("first_peer"))
 
 
@@ -197,9 +199,10 @@ add(
 def _edge_lengths(s, d):
     """Known distances looked up on edges: median over those that have one, and the share of edges that have."""
     ends = graphs.upper(graph(s, d)).select("src", "dst")
-    known = points(s, d).select(F.col("id").alias("src"), "label").join(points(s, d).select(F.col("id").alias("dst"), F.col("label").alias("l2")), F.col("label") == F.col("l2"))
-    known = known.where("dst > src").select("src", "dst", (F.col("dst") - F.col("src")).cast("double").alias("km"))
-    return ends.join(known, ["src", "dst"], "left").agg(F.median("km").alias("median_km"), F.avg(F.col("km").isNotNull().cast("double")).alias("known"))
+    for e in ("src", "dst"):
+        ends = ends.join(points(s, d).select(F.col("id").alias(e), F.col("label").alias(f"label_{e}")), e)
+    ends = ends.withColumn("km", F.when(F.col("label_src") == F.col("label_dst"), (F.col("dst") - F.col("src")).cast("double")))
+    return ends.agg(F.median("km").alias("median_km"), F.avg(F.col("km").isNotNull().cast("double")).alias("known"))
 
 
 add("edge_lengths", _edge_lengths, wrapped("select median(dst - src) filter (where la = lb) as median_km, avg(case when la = lb then 1.0 else 0.0 end) as known from ends where src < dst", "", "median_km, known", ENDS))
@@ -207,9 +210,11 @@ add("edge_lengths", _edge_lengths, wrapped("select median(dst - src) filter (whe
 
 def _sweep(s, d):
     """Neighbours tried: edges and the overlap with the main graph."""
-    main, out = graph(s, d), None
+    top = written(graphs.nearest(points(s, d), 20))  # those of fewer neighbours are in it
+    some = lambda k: graphs.knn_from_similarity(top.where(F.col("place") <= k))
+    main, out = written(some(15)), None
     for k in (5, 10, 20):
-        one = graphs.jaccard(graph(s, d, k), main).select(F.lit(k).alias("k"), "shared", "jaccard")
+        one = graphs.jaccard(some(k), main).select(F.lit(k).alias("k"), "shared", "jaccard")
         out = one if out is None else out.union(one)
     return out
 

@@ -2,46 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Settings:
-    """Parameters of an analysis and their defaults."""
-
-    seed: int = 42
-    block_weights: dict[str, float] = field(default_factory=lambda: {"level": 1.0, "profile": 1.0, "season": 0.7})
-    summer: tuple[int, ...] = (6, 7, 8)
-    window: int = 12
-    step: int = 1
-    margin: float = 0.15
-    k_nn: int = 15
-    k_nn_tried: tuple[int, ...] = (5, 10, 15, 20, 30)
-    rule: str = "corr"
-    dtw_band: int = 2
-    k_tried: tuple[int, ...] = tuple(range(4, 13))
-    net_share: float = 0.4
-    alpha: float = 0.5
-    starts: int = 20
-    bootstrap: int = 20
-    bootstrap_share: float = 0.8
-    permutations: int = 50
-    grades: tuple[int, ...] = (3, 5)
-    max_lag: int = 3
-    lag_reps: int = 20
-    monic_tau: float = 0.5
-    monic_split: float = 0.25
-    monic_delta: float = 0.05
-    join_count_reps: int = 200
-    least_share: float = 0.01
-    directions: dict[str, int] = field(
-        default_factory=lambda: {"SW": 1, "CH": 1, "S_Dbw": -1, "MQ": 1, "AVI": 1, "AVU": -1, "ANUI": 1, "stability": 1}
-    )
-
-
 def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None, where=None) -> DataFrame:
     """A Parquet table; columns and filters reach the scan."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")

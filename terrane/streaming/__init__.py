@@ -29,10 +29,12 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 
 def drained(stream: DataFrame, base: str) -> DataFrame:
-    """The result of a stream over all that is there now, through a file sink under base (a shared folder)."""
+    """What a stream has finished over all that is there now, through a file sink under base (a shared folder).
+
+    Append mode: a window or session is written once, when the watermark has passed its end, and its state is dropped then; those
+    that are still open stay in the checkpoint for the next run.
+    """
     path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    spark = stream.sparkSession
-    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    query = query.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).start()
+    query = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
