@@ -12,12 +12,16 @@ from terrane.operators.quality import centres
 from terrane.operators.shared import ratio, squared_distance, written
 
 
-def assign(points: DataFrame, middles: DataFrame) -> DataFrame:
-    """id, vec, label, d1, d2: the nearest of a few centres (label, centre), ties by label, and the two least distances."""
-    met = points.select("id", "vec").crossJoin(F.broadcast(middles.select("label", "centre")))  # centres: a row for each cluster
-    each = met.select("id", "vec", F.struct(squared_distance("vec", "centre").alias("d"), F.col("label").alias("label")).alias("c"))
-    found = each.groupBy("id").agg(F.first("vec").alias("vec"), F.slice(F.array_sort(F.collect_list("c")), 1, 2).alias("best"))
-    return found.select("id", "vec", F.col("best")[0]["label"].alias("label"), F.sqrt(F.col("best")[0]["d"]).alias("d1"), F.sqrt(F.get("best", F.lit(1))["d"]).alias("d2"))
+def assign(points: DataFrame, middles: DataFrame, *by: str) -> DataFrame:
+    """id, vec, label, d1, d2: the nearest of a few centres (label, centre), ties by label, and the two least distances.
+
+    by: columns of both sides; points meet the centres of their own group, and the columns come first in the result.
+    """
+    few = F.broadcast(middles.select(*by, "label", "centre"))  # a row for each group and cluster
+    met = points.select(*by, "id", "vec").join(few, list(by)) if by else points.select("id", "vec").crossJoin(few)
+    each = met.select(*by, "id", "vec", F.struct(squared_distance("vec", "centre").alias("d"), F.col("label").alias("label")).alias("c"))
+    found = each.groupBy(*by, "id").agg(F.first("vec").alias("vec"), F.slice(F.array_sort(F.collect_list("c")), 1, 2).alias("best"))
+    return found.select(*by, "id", "vec", F.col("best")[0]["label"].alias("label"), F.sqrt(F.col("best")[0]["d"]).alias("d1"), F.sqrt(F.get("best", F.lit(1))["d"]).alias("d2"))
 
 
 def margins(assigned: DataFrame) -> DataFrame:
@@ -25,12 +29,15 @@ def margins(assigned: DataFrame) -> DataFrame:
     return assigned.select("id", "label", ((F.col("d2") - F.col("d1")) / F.greatest("d2", F.lit(1e-12))).alias("margin"))
 
 
-def lloyd(points: DataFrame, middles: DataFrame, steps: int = 20) -> DataFrame:
-    """id, vec, label, d1, d2 after Lloyd steps from given centres (label, centre); stops when no label changes."""
-    found = written(assign(points, middles))
+def lloyd(points: DataFrame, middles: DataFrame, steps: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    """id, vec, label, d1, d2 after Lloyd steps from given centres (label, centre); stops when no label changes.
+
+    by: columns of both sides; each group is a run of its own, and all runs take a step in one plan.
+    """
+    found = written(assign(points, middles, *by))
     for _ in range(steps):
-        again = written(assign(points, centres(found)))
-        same = again.select("id", "label").exceptAll(found.select("id", "label")).isEmpty()
+        again = written(assign(points, centres(found, *by), *by))
+        same = again.select(*by, "id", "label").exceptAll(found.select(*by, "id", "label")).isEmpty()
         found = again
         if same:
             break

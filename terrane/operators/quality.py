@@ -36,9 +36,9 @@ def graph_indices(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("AVI", "AVU", (F.col("AVI") / (1 + F.col("AVI") * F.col("AVU"))).alias("ANUI"), "MQ")
 
 
-def _long(points: DataFrame) -> DataFrame:
+def _long(points: DataFrame, *by: str) -> DataFrame:
     """id, label, f, x from points (id, vec, label)."""
-    return points.select("id", "label", F.posexplode("vec").alias("f", "x"))
+    return points.select(*by, "id", "label", F.posexplode("vec").alias("f", "x"))
 
 
 def calinski_harabasz(points: DataFrame) -> DataFrame:
@@ -50,11 +50,11 @@ def calinski_harabasz(points: DataFrame) -> DataFrame:
     return found.select("between", "within", ch.alias("CH"))
 
 
-def centres(points: DataFrame) -> DataFrame:
-    """label, centre, size, var_norm of points (id, vec, label): a row for each cluster."""
-    own = _long(points).groupBy("label", "f").agg(F.avg("x").alias("c"), F.count("*").alias("n"), F.var_pop("x").alias("v"))
+def centres(points: DataFrame, *by: str) -> DataFrame:
+    """label, centre, size, var_norm of points (id, vec, label): a row for each cluster, of each group of ``by`` if given."""
+    own = _long(points, *by).groupBy(*by, "label", "f").agg(F.avg("x").alias("c"), F.count("*").alias("n"), F.var_pop("x").alias("v"))
     row = F.array_sort(F.collect_list(F.struct("f", "c")))
-    return own.groupBy("label").agg(F.transform(row, lambda r: r["c"]).alias("centre"), F.max("n").alias("size"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("var_norm"))
+    return own.groupBy(*by, "label").agg(F.transform(row, lambda r: r["c"]).alias("centre"), F.max("n").alias("size"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("var_norm"))
 
 
 def s_dbw(points: DataFrame) -> DataFrame:
@@ -124,19 +124,19 @@ def all_indices(points: DataFrame, edges: DataFrame) -> DataFrame:
     return row
 
 
-def contingency(labels: DataFrame, a: str, b: str) -> DataFrame:
-    return labels.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+def contingency(labels: DataFrame, a: str, b: str, *by: str) -> DataFrame:
+    return labels.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
 
 
-def adjusted_rand(table: DataFrame) -> DataFrame:
-    """One row: ari from counts (a, b, n); 1 where both partitions are trivial."""
+def adjusted_rand(table: DataFrame, *by: str) -> DataFrame:
+    """ari from counts (a, b, n), one row or a row for each group of ``by``; 1 where both partitions are trivial."""
     pairs = lambda n: n * (n - 1) / 2
-    both = table.agg(F.sum(pairs(F.col("n"))).alias("both"), F.sum("n").alias("all"))
-    side = lambda c: table.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias(f"in_{c}"))
-    row = both.crossJoin(side("a")).crossJoin(side("b"))  # one row each
+    both = table.groupBy(*by).agg(F.sum(pairs(F.col("n"))).alias("both"), F.sum("n").alias("all"))
+    side = lambda c: table.groupBy(*by, c).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(pairs(F.col("n"))).alias(f"in_{c}"))
+    row = both.join(side("a"), list(by)).join(side("b"), list(by)) if by else both.crossJoin(side("a")).crossJoin(side("b"))  # one row each
     expected = ratio(F.col("in_a") * F.col("in_b"), pairs(F.col("all")))
     most = (F.col("in_a") + F.col("in_b")) / 2
-    return row.select(F.when(most == expected, 1.0).otherwise(F.try_divide(F.col("both") - expected, most - expected)).alias("ari"))
+    return row.select(*by, F.when(most == expected, 1.0).otherwise(F.try_divide(F.col("both") - expected, most - expected)).alias("ari"))
 
 
 def normalized_mutual_information(table: DataFrame) -> DataFrame:
@@ -193,13 +193,9 @@ def subsamples(points: DataFrame, reps: int, share: float, seed: int = 42) -> Da
 
 
 def bootstrap_ari(points: DataFrame, full: DataFrame, fit, reps: int = 20, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """rep, ari of a refitted partition against full (id, label) on the subsample's points. fit: points -> (id, label).
+    """rep, ari of a refitted partition against full (id, label) on the subsample's points.
 
-    The driver loops over repeats, as a fit is a plan of its own.
+    fit: (rep, id, vec) -> (rep, id, label), a partition for each rep; repeats are a column, so all are fitted in one plan.
     """
-    drawn, out = written(subsamples(points, reps, share, seed)), None
-    for rep in range(reps):
-        again = fit(drawn.where(F.col("rep") == rep).drop("rep")).withColumnRenamed("label", "again")
-        one = adjusted_rand(contingency(again.join(full, "id"), "label", "again")).withColumn("rep", F.lit(rep))
-        out = one if out is None else out.union(one)
-    return out.select("rep", "ari")
+    again = fit(written(subsamples(points, reps, share, seed))).select("rep", "id", F.col("label").alias("again"))
+    return adjusted_rand(contingency(again.join(full.select("id", "label"), "id"), "label", "again", "rep"), "rep")

@@ -248,7 +248,14 @@ add("ward_labels", lambda s, d: clustering.ward(points(s, d), 6))
 add("gmm_labels", lambda s, d: clustering.mixture(points(s, d), 4))
 add("spectral_labels", lambda s, d: clustering.spectral(graph(s, d), graph(s, d, 10), 4))
 add("permutation_baseline", lambda s, d: quality.permutation_baseline(graph(s, d), labels(s, d), 50))
-add("bootstrap_ari", lambda s, d: quality.bootstrap_ari(points(s, d), labels(s, d), lambda p: clustering.lloyd(p, _start(s, d), 2).select("id", "label"), 3))
+
+
+def _bootstrap(s, d, reps: int = 20):
+    starts = _start(s, d).crossJoin(s.range(reps).withColumnRenamed("id", "rep"))  # a row for each label and repeat
+    return quality.bootstrap_ari(points(s, d).select("id", "vec"), labels(s, d), lambda p: clustering.lloyd(p, starts, by=("rep",)), reps)
+
+
+add("bootstrap_ari", _bootstrap)
 
 
 SPLIT = f"""{POINTS},

@@ -112,6 +112,36 @@ def test_agreement(spark):
     assert abs(one(quality.eta_squared(values)).eta2 - 1) < 1e-12
 
 
+def pair_agreement(x, y):
+    """The adjusted Rand index, pair by pair."""
+    pairs = list(itertools.combinations(range(len(x)), 2))
+    a, b = ([v[i] == v[j] for i, j in pairs] for v in (x, y))
+    both, expected, most = sum(map(min, a, b)), sum(a) * sum(b) / len(pairs), (sum(a) + sum(b)) / 2
+    return 1.0 if most == expected else (both - expected) / (most - expected)
+
+
+def test_bootstrap(spark):
+    """Repeats fitted in one plan give what each repeat gives alone, by NumPy and pair by pair."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3)) + 1.5 * (np.arange(90) % 3)[:, None]
+    first = np.array([x[np.arange(90) % 3 == k].mean(0) for k in range(3)])
+    points = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, vec array<double>, label int")
+    starts = spark.createDataFrame([(r, k, first[k].tolist()) for r in range(4) for k in range(3)], "rep long, label int, centre array<double>")
+    fit = lambda p: clustering.lloyd(p, starts, by=("rep",))
+    got = {r.rep: r.ari for r in quality.bootstrap_ari(points.select("id", "vec"), points, fit, 4).collect()}
+    drawn = quality.subsamples(points.select("id", "vec"), 4, 0.8).collect()
+    assert sorted(got) == [0, 1, 2, 3]
+    for rep, ari in got.items():
+        ids = sorted(r.id for r in drawn if r.rep == rep)
+        assert len(ids) == 72
+        middles, near = first, None
+        for _ in range(21):
+            near = ((x[ids][:, None] - middles[None]) ** 2).sum(2).argmin(1)
+            middles = np.array([x[ids][near == k].mean(0) for k in range(3)])
+        assert abs(ari - pair_agreement([i % 3 for i in ids], list(near))) < 1e-9
+    assert len(set(got.values())) > 1
+
+
 def test_planted_groups(spark):
     points, edges = clustering.planted(spark, 240, 3, 4, 6.0, 8.0, 20.0)
     truth = points.select("id", F.col("label").alias("true"))
