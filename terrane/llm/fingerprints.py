@@ -20,6 +20,7 @@ document is its own next. Other columns are ignored. Rows of one doc_id stand to
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ SYMBOLS = "abcdefghijklmno"  # what the walk writes; "-" beyond its end
 LONG = 1 << 17  # characters beyond which a text is walked alone, with tables for a window of steps at a time
 ROWS = 2_000  # documents of a range, as long as there are no more than PARTS ranges
 PARTS = 50_000
-TILE = 500  # members of a band compared with as many others at a time
+TILE = 1_000  # members of a band compared with as many others at a time
 _SHARED: dict = {"steps": 0}
 
 
@@ -136,6 +137,7 @@ def _walked(texts: list[str]) -> Iterator[str]:
         yield line.tobytes().decode().rstrip("-")
 
 
+@lru_cache(maxsize=None)  # n is at most SAMPLES for each octave
 def _weights(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The octave of each of the first n samples, and the steps each stands for."""
     octaves, weight, b = [np.full(1, -1)], [np.ones(1)], 0
@@ -158,21 +160,28 @@ def likeness(x: str, y: str) -> float:
     return max(0.0, (share - 1 / len(SYMBOLS)) / (1 - 1 / len(SYMBOLS)))
 
 
-def bands(x: str, count: int = 32, bits: int = 8, more: int = 0) -> list[int]:
-    """Keys of banded samples: each band takes ``bits`` samples, spread over the fingerprint's octaves by weight; with ``more``
-    as if the text had so many more octaves."""
-    if not x:
-        return [0]
-    a = np.frombuffer(x.encode(), np.uint8).astype(U64)
-    # Positions depend on the number of octaves only, so that texts of like length sample the same steps.
-    octaves, _ = _weights(len(x))
+@lru_cache(maxsize=None)
+def _picks(n: int, more: int, count: int, bits: int) -> tuple[int, np.ndarray]:
+    """The samples of a fingerprint of n symbols, filled up to whole octaves, and the places that the bands take of them.
+
+    Places depend on the number of octaves only, so that texts of like length sample the same steps.
+    """
+    octaves, _ = _weights(n)
     full = max(1, 1 + sum(min(1 << b, SAMPLES) for b in range(int(octaves[-1]) + more)))
     _, weight = _weights(full)
-    a = np.append(a, np.full(max(0, full - len(a)), ord("-"), U64))
-    share = np.cumsum(weight) / weight.sum()
     draws = (mix(np.arange(count * bits, dtype=U64) + U64(0x5151)) >> U64(11)).astype(float) / (1 << 53)
-    picked = a[np.searchsorted(share, draws, "right").clip(0, full - 1)].reshape(count, bits)
-    keys = (picked << (U64(8) * np.arange(bits, dtype=U64) % U64(64))).sum(1, dtype=U64) if bits <= 8 else mix(picked).sum(1, dtype=U64)
+    return full, np.searchsorted(np.cumsum(weight) / weight.sum(), draws, "right").clip(0, full - 1)
+
+
+def bands(x: str, count: int = 32, bits: int = 8, more: int = 0) -> list[int]:
+    """Keys of banded samples: each band takes ``bits`` samples (up to 8), spread over the fingerprint's octaves by weight; with
+    ``more`` as if the text had so many more octaves."""
+    if not x:
+        return [0]
+    full, places = _picks(len(x), more, count, bits)
+    a = np.full(max(full, len(x)), ord("-"), U64)
+    a[: len(x)] = np.frombuffer(x.encode(), np.uint8)
+    keys = (a[places].reshape(count, bits) << (U64(8) * np.arange(bits, dtype=U64))).sum(1, dtype=U64)
     return mix(keys + mix(np.arange(count, dtype=U64) + U64(full << 20))).view(np.int64).tolist()
 
 
@@ -278,45 +287,70 @@ def _compared(least: float):
     return run
 
 
-def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """fingerprint, class_id: components of the distinct fingerprints that share a band and are alike.
+def _members(batches):
+    for b in batches:
+        keys = [all_bands(x) for x in b.column("fingerprint").to_pylist()]
+        nodes = np.repeat(b.column("node").to_numpy(), [len(k) for k in keys])
+        yield pa.RecordBatch.from_arrays([pa.array([k for row in keys for k in row], pa.int64()), pa.array(nodes, pa.int64())], ["band", "node"])
 
-    First each band's members are compared with its least, a pair a member. Bands whose members are in different components
-    after that are compared in full, in tiles of TILE members by TILE: time by the square of such a band, but only links are
-    written. Fingerprints without a like one are their own class.
-    """
-    from terrane.llm.components import connected
 
-    prints = staged(fingerprint(docs).select("fingerprint").distinct().withColumn("node", F.xxhash64("fingerprint")), "prints")
+def _verified(least: float):
+    def run(batches):
+        for b in batches:
+            pairs = zip(b.column("fingerprint").to_pylist(), b.column("other").to_pylist())
+            alike = pa.array([likeness(x, y) >= least for x, y in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(alike)
 
-    @F.pandas_udf("array<long>")
-    def banded(x):
-        return x.map(all_bands)
+    return run
 
-    @F.pandas_udf("double")
-    def alike(x, y):
-        return x.combine(y, likeness)
 
-    members = staged(prints.withColumn("band", F.explode(banded("fingerprint"))), "members")
-    least_of = members.groupBy("band").agg(F.min_by(F.struct("node", "fingerprint"), "node").alias("pivot"))
-    pairs = members.join(least_of, "band").where(F.col("node") != F.col("pivot.node"))
-    pairs = pairs.select("node", "fingerprint", F.col("pivot.node").alias("b"), F.col("pivot.fingerprint").alias("other")).distinct()
-    links = staged(pairs.where(alike("fingerprint", "other") >= least).select(F.col("node").alias("a"), "b"), "links")
-    placed = members.join(connected(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """node, component of the fingerprints of prints(node, fingerprint; a row each) that share a band with an alike one.
+
+    Bands that a single fingerprint has go first, so that only keys travel for most. Then each band's members are verified
+    against its least, a pair a member. Bands whose members are in different components after that are compared in full, in
+    tiles of TILE members by TILE: time by the square of such a band, but only links are written.
+    """
+    from terrane.llm.components import connected
+
+    members = staged(prints.mapInArrow(_members, "band long, node long"), "members")
+    pivots = staged(members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").drop("n"), "pivots")
+    met = staged(members.join(pivots, "band"), "met")
+    pairs = met.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = pairs.join(prints.select(F.col("node").alias("a"), "fingerprint"), "a").join(prints.select(F.col("node").alias("b"), F.col("fingerprint").alias("other")), "b")
+    links = staged(pairs.mapInArrow(_verified(least), "a long, b long"), "links")
+    found = staged(connected(links), "components")
+    placed = staged(met.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "placed")
     mixed = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    tiles = placed.join(mixed.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "band")
+    tiles = placed.join(mixed.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "band").join(prints, "node")
     tiles = tiles.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(1)), "tiles").cast("int"))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiles = tiles.select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "component", "fingerprint")
-    rest = tiles.groupBy("band", "i", "j").applyInArrow(_compared(least), "a long, b long")
-    found = prints.join(connected(staged(links.union(rest), "links")), "node", "left")
+    rest = staged(tiles.groupBy("band", "i", "j").applyInArrow(_compared(least), "a long, b long"), "rest")
+    return found if rest.isEmpty() else connected(links.union(rest))
+
+
+def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """fingerprint, class_id: components of the distinct fingerprints of docs that share a band and are alike.
+
+    Fingerprints without a like one are their own class.
+    """
+    prints = staged(fingerprint(docs).select("fingerprint").distinct().withColumn("node", F.xxhash64("fingerprint")), "prints")
+    found = prints.join(near_classes(prints, least), "node", "left")
     return found.select("fingerprint", F.coalesce("component", "node").alias("class_id"))
 
 
 def op4_edit_fingerprints(spark, sf_dir: str) -> DataFrame:
-    found = with_next(documents(spark, sf_dir))
-    return found.withColumn("edited_sha256", F.sha2("edited_text", 256)).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands_shared"
+    """Fingerprints and likenesses of each document, and near_class: the least doc_id of the documents that banding and
+    verification link to it, itself included (null if none of them has one)."""
+    found = with_next(documents(spark, sf_dir)).withColumn("edited_sha256", F.sha2("edited_text", 256))
+    found = staged(found.drop("edited_text"), "found")
+    prints = staged(found.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fingerprint")), "prints")
+    classes = prints.join(near_classes(prints.select("node", "fingerprint")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = staged(classes.select("fingerprint", "least", "component"), "classes")
+    least = classes.groupBy("component").agg(F.min("least").alias("near_class"))
+    return found.join(classes.join(least, "component").select("fingerprint", "near_class"), "fingerprint", "left").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands_shared", "near_class"
     )
 
 

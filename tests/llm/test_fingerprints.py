@@ -75,6 +75,17 @@ def test_query(spark):
     for d, e in zip(ids, ids[1:] + ids[:1]):
         assert got[d].edited_sha256 == hashlib.sha256(P.edited(docs[d], docs[e]).encode()).hexdigest()
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.95
+    # Classes against all pairs of the table's distinct fingerprints: nothing linked that isn't alike, and nine of ten links found.
+    prints = sorted({r.fingerprint for r in got.values()})
+    want = brute_classes(prints)
+    classes, wanted = {}, {}
+    for d in ids:
+        classes.setdefault(got[d].near_class, set()).add(d)
+        wanted.setdefault(want[got[d].fingerprint], set()).add(d)
+    assert all(min(c) == k for k, c in classes.items())
+    assert all(any(c <= w for w in wanted.values()) for c in classes.values())
+    pairs = sum(len(w) * (len(w) - 1) for w in wanted.values())
+    assert pairs and sum(len(c) * (len(c) - 1) for c in classes.values()) >= 0.9 * pairs
 
 
 def test_near_documents(spark):
