@@ -26,9 +26,10 @@ def padded(code: Column, length: int) -> Column:
 
 
 def signed_percent(x: Column, digits: int = 0) -> Column:
-    """+12%, and −3% with a true minus sign."""
-    text = F.format_string(f"%+.{digits}f%%", x * 100)
-    return F.replace(text, F.lit("-"), F.lit("−"))
+    """+12%, and −3% with a true minus sign; halves go to the even digit and -0.0 keeps its sign, as in printf. Null stays null."""
+    sign = F.when(F.format_string("%+f", x).startswith("-"), "−").otherwise("+")
+    text = F.concat(sign, F.format_string(f"%.{digits}f%%", F.abs(F.bround(x * 100, digits))))
+    return F.when(x.isNotNull(), text)
 
 
 def month_of(stamp: Column) -> Column:
